@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
+from .exact_repeats import op6_suffix_dedup
 from .html_text import op2_html_text
 from .langid import op10_langid
+from .neighbours import op7_neighbours
 from .packing import op8_packing
 from .sharding import op4_sharding
+from .simhash import op1_simhash
+from .token_counts import op5_token_counts
 from .warc import op9_warc
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_html_text": op2_html_text,
+    "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
+    "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_neighbours": op7_neighbours,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
 }
 
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+        iw AS (SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS g
+               FROM (SELECT item_id, w[s : s + least(10, len(w)) - 1] AS x
+                     FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0))),
+        dw AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS g
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        m AS (SELECT doc_id, s, n, item_id FROM dw JOIN iw USING (n, g)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op5_token_counts": """
+        WITH c AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT source, lang, doc_id = min(doc_id) OVER (PARTITION BY t) AS stays,
+                     len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS blank, len(regexp_extract_all(t, '[A-Za-z0-9]+')) AS alnum FROM c),
+        x AS (SELECT source, lang, 'blank-1' AS tokenizer, CASE WHEN lang = 'de' THEN alnum ELSE blank END AS tokens FROM n WHERE stays
+              UNION ALL SELECT source, lang, 'alnum-1', alnum FROM n WHERE stays)
+        SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM x GROUP BY ALL""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
