@@ -13,6 +13,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in one Arrow batch: with texts of a few kB a batch is some MB, with the longest ones some tens of MB.
 BATCH_ROWS = 512
 
+#: Rows up to which a narrow table is broadcast after its rows were counted; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -41,6 +44,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _delete_written() -> None:
     for spark, path in _written:
         try:

@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, bounded, table, written
 
 WINDOW = 10
 #: Rarest terms of a window whose lists are intersected.
 RAREST = 2
-#: Rows up to which a table made from the test items is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 _GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -25,11 +23,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(ascii_lower(text), _GAPS), lambda w: w != ""), F.array().cast("array<string>"))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted size allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def item_table(items: DataFrame) -> DataFrame:
     """(item, words, ids): the distinct word sequences of the items, with the ids (as strings) that have them."""
     words = items.select(F.col("item_id").cast("string").alias("id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table, written
+from .common import bounded, small_batches, table, written
 
 LENGTH = 400
 #: Rows that a task holds before it hands them on.
@@ -179,6 +179,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     ranks = written(sample_rows(texts, length), "repeats-samples")
     shared = ranks.groupBy("rank").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("own").alias("own")).where("a < b OR own").select("rank")
     mine = ranks.join(shared, "rank").groupBy("key").agg(F.collect_set("rank").alias("ranks"))
+    mine = written(mine, "repeats-mine")
+    texts = texts.join(bounded(mine.select("key")), "key", "left_semi")
     chosen = written(texts.join(mine, "key").dropDuplicates(["digest"]).withColumn("key", F.xxhash64("digest")), "repeats-chosen")
 
     places = written(doubled_rows(chosen, length), "repeats-pairs")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table, written
+from .common import bounded, small_batches, table, written
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -38,16 +38,21 @@ def shingle_digests(data: bytes, words: int) -> list[bytes]:
     return [xxh64_digest(b" ".join(s), SEED) for s in zip(*(w[k:] for k in range(words)))]
 
 
+def ones_of(rows: np.ndarray) -> np.ndarray:
+    """Set bits in each column of rows of bytes; 255 rows at a time, whose sums fit a byte."""
+    ones = np.zeros(8 * rows.shape[1], np.int64)
+    for at in range(0, len(rows), 255):
+        ones += np.unpackbits(rows[at : at + 255], axis=1).sum(0, dtype=np.uint8)
+    return ones
+
+
 def fingerprint(text: str | None, words: int) -> bytes:
     """Eight bytes: bit by bit, whether it is set in over half of the digests; zero without words."""
     digests = shingle_digests((text or "").encode(), words)
     if not digests:
         return bytes(8)
     rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(rows), 4096):
-        ones += np.unpackbits(rows[at : at + 4096], axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(rows)).tobytes()
+    return np.packbits(2 * ones_of(rows) > len(rows)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -134,5 +139,127 @@ def simhash_components(docs: DataFrame, words: int = 5, most: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
+#: The wide fingerprint of near_duplicates: segments on its ring, bits of a segment, and the share of bits that may differ.
+SEGMENTS, SEGMENT_BITS, DIFFER = 40, 24, 0.15
+
+
+class WideFingerprint:
+    """SimHash of a text's distinct words with SEGMENTS * SEGMENT_BITS bits, word by word from tables of random bits."""
+
+    def __init__(self, seed: int = 3):
+        self.tables = np.random.default_rng(seed).integers(0, 256, (8, 256, SEGMENTS * SEGMENT_BITS // 8), dtype=np.uint8)
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        """SEGMENTS integers of SEGMENT_BITS bits."""
+        from xxhash import xxh64_digest
+
+        words = set(data.lower().split())
+        if not words:
+            return np.zeros(SEGMENTS, np.int32)
+        codes = np.frombuffer(b"".join([xxh64_digest(w, SEED) for w in words]), np.uint8).reshape(-1, 8)
+        ones = np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
+        for at in range(0, len(codes), 4080):
+            c = codes[at : at + 4080]
+            rows = self.tables[0][c[:, 0]]
+            for k in range(1, 8):
+                rows ^= self.tables[k][c[:, k]]
+            ones += ones_of(rows)
+        bits = np.packbits((2 * ones > len(words)).reshape(SEGMENTS, SEGMENT_BITS), axis=1).astype(np.int32)
+        return bits[:, 0] << 16 | bits[:, 1] << 8 | bits[:, 2]
+
+
+def ring_holds(differ: np.ndarray, most: float) -> np.ndarray:
+    """Rows of differing bits by segment that pass the pigeonring: a chain start from which every prefix keeps its budget, and the total."""
+    n, m = differ.shape
+    sums = np.cumsum(np.concatenate([differ, differ], 1), 1)
+    before = np.concatenate([np.zeros((n, 1), sums.dtype), sums[:, : m - 1]], 1)
+    alive = np.ones((n, m), bool)
+    for length in range(1, m + 1):
+        alive &= sums[:, length - 1 : length - 1 + m] - before <= length * most / m
+        if not alive.any():
+            break
+    return alive.any(1)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row's doc_id, key, md5, class_id): class_id is the smallest doc_id of the texts that near-duplicate links connect.
+
+    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at least
+    ``similarity``; equal texts are one. Candidates come from a wide SimHash of the distinct words: texts meet on an equal
+    segment, and pairs that the pigeonring prunes are never compared. A segment's bucket of more than PAIRED texts tries
+    its texts against its centre only, the text nearest to the majority of a salted draw of its fingerprints, so rows stay
+    in proportion to the texts. Null and blank texts link to nothing but equal ones; null ids never name a class unless
+    it has no other; an empty table gives an empty table; other columns are left out.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text")).withColumn("md5", F.md5("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("md5", pa.string()), ("segments", pa.list_(pa.int32()))])
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = WideFingerprint()
+        for b in batches:
+            got = [of(t.encode()) for t in b.column(1).to_pylist()]
+            flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * SEGMENTS), flat)], schema=schema)
+
+    rows = written(plain.mapInArrow(wide, "doc_id long, key long, md5 string, segments array<int>"), "near-rows")
+    # a key that two texts share belongs to the one of smaller md5; the other stands alone
+    nodes = written(rows.groupBy("key").agg(F.min("md5").alias("md5"), F.min_by("segments", "md5").alias("segments")), "near-nodes")
+    keyed = nodes.select("key", F.posexplode("segments").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(keyed.join(sizes, "bucket"), "near-met")
+    few = met.where(F.col("n") <= PAIRED).select("bucket", "key")
+    pairs = few.withColumnRenamed("key", "u").join(few.withColumnRenamed("key", "v"), "bucket").where("u < v").select("u", "v")
+
+    many = met.where(F.col("n") > PAIRED).select("bucket", "key")
+    drawn = many.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(PAIRED)).alias("salt")).agg(F.min(F.xxhash64("key", "bucket")).alias("h"), F.min_by("key", F.xxhash64("key", "bucket")).alias("key"))
+    drawn = drawn.join(nodes.select("key", "segments"), "key").groupBy("bucket").agg(F.collect_list("segments").alias("drawn"))
+
+    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.arange(SEGMENT_BITS)
+        for b in batches:
+            got = []
+            for lists in b.column(1).to_pylist():
+                bits = np.array(lists)[:, :, None] >> shift & 1
+                got.append((((2 * bits.sum(0) > len(lists)) << shift).sum(1)).astype(np.int32).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["bucket", "centre"])
+
+    centres = drawn.mapInArrow(majority, "bucket long, centre array<int>")
+    far = F.aggregate(F.zip_with("segments", "centre", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    nearest = many.join(nodes.select("key", "segments"), "key").join(centres, "bucket").groupBy("bucket").agg(F.min(F.struct(far.alias("d"), F.col("key"))).alias("c")).select("bucket", F.col("c.key").alias("c"))
+    stars = many.join(nearest, "bucket").where("key <> c").select(F.least("key", "c").alias("u"), F.greatest("key", "c").alias("v"))
+    pairs = pairs.union(stars).distinct()
+    sides = pairs.join(nodes.select(F.col("key").alias("u"), F.col("segments").alias("a")), "u").join(nodes.select(F.col("key").alias("v"), F.col("segments").alias("b")), "v").select("u", "v", "a", "b")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k).flatten().to_numpy().reshape(-1, SEGMENTS) for k in (2, 3))
+            good = ring_holds(np.bitwise_count(a ^ c).astype(np.int32), DIFFER * SEGMENTS * SEGMENT_BITS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good))
+
+    pairs = written(sides.mapInArrow(prune, "u long, v long"), "near-pairs")
+    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct().join(nodes.select("key", "md5"), "key")
+    set_schema = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(b"".join({*shingle_digests(t.encode(), words)}), np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=set_schema)
+
+    chosen = plain.join(bounded(wanted), ["key", "md5"]).select("key", "text").mapInArrow(shingles, "key long, shingles array<bigint>")
+    sets = written(chosen.groupBy("key").agg(F.first("shingles").alias("s")), "near-sets")
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    linked = both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).where("size(a) > 0").select("u", "v")
+
+    roots = connected_components(linked)
+    named = rows.join(nodes.select("key", F.col("md5").alias("owner")), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    label = F.when(F.col("md5") == F.col("owner"), F.coalesce("root", "key").cast("string")).otherwise(F.col("md5"))
+    named = named.select("doc_id", "key", "md5", label.alias("class"))
+    least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return named.join(least, "class").select("doc_id", "key", "md5", "class_id")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, most=2)
