@@ -108,30 +108,45 @@ class Block:
         self.low = np.array([points[p].min(0) for p in parts])
         self.high = np.array([points[p].max(0) for p in parts])
 
-    def search(self, own: int, q: np.ndarray, p: np.ndarray, k: int, bound: float, beyond: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the nearest rows found; bound: squared distance within which results matter."""
-        gap = np.maximum(0, np.maximum(self.low - p, p - self.high))
-        near = (gap * gap).sum(1)
-        order = np.argsort(near, kind="stable")
-        shift = self.norm2 + float(q @ q)
+    def search(self, own: np.ndarray, q: np.ndarray, p: np.ndarray, k: int, bound: np.ndarray, beyond: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and inner products of the nearest rows found; bound: squared distance within which results matter.
+
+        Each query verifies leaves in growing order of their projected distance, in rounds of growing size, and stops
+        when the next leaf lies beyond its bound, which falls to the k-th best true distance after each round. The
+        queries that look at a leaf in one round share a product with its vectors.
+        """
+        gap = np.maximum(0, np.maximum(self.low[None] - p[:, None], p[:, None] - self.high[None]))
+        near = (gap * gap).sum(2)
+        place = near.argsort(1, kind="stable").argsort(1, kind="stable")
+        scores = np.full((len(q), len(self.x)), -np.inf)
+        shift, bound = self.norm2 + (q * q).sum(1), bound.copy()
         starts = np.concatenate([[0], self.ends[:-1]])
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order) and near[order[at]] <= beyond * bound:
-            rows = np.concatenate([np.arange(starts[leaf], self.ends[leaf]) for leaf in order[at : at + step]])
-            d = self.points[rows] - p
-            rows = rows[((d * d).sum(1) <= beyond * bound) & (self.ids[rows] != own)]
-            ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, (self.x[rows] * q).sum(1)])
-            if len(ids) > k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores >= kth
-                ids, scores = ids[keep], scores[keep]
-            if len(ids) >= k:
-                bound = min(bound, max(0.0, shift - 2 * scores.min()) + 1e-9)
-            at, step = at + step, 2 * step
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        first, last = 0, 4
+        while first < near.shape[1]:
+            due = (place >= first) & (place < last) & (near <= beyond * bound[:, None])
+            for leaf in np.flatnonzero(due.any(0)):
+                who, rows = np.flatnonzero(due[:, leaf]), slice(starts[leaf], self.ends[leaf])
+                d = (p[who] ** 2).sum(1)[:, None] - 2 * p[who] @ self.points[rows].T + (self.points[rows] ** 2).sum(1)
+                near_enough = (d <= beyond * bound[who, None] + 1e-9) & (self.ids[rows][None] != own[who, None])
+                scores[who, rows] = np.where(near_enough, q[who] @ self.x[rows].T, -np.inf)
+            if len(self.x) >= k and due.any():
+                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                bound = np.minimum(bound, np.maximum(0.0, shift - 2 * kth) + 1e-9)  # infinite with fewer than k found
+            first, last = last, 4 * last
+        out = []
+        for i in range(len(q)):
+            s = scores[i]
+            kth = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+            rows = np.flatnonzero((s >= kth - 1e-9) & (s > -np.inf))  # those that rounding may have put behind come along
+            exact = (self.x[rows] * q[i]).sum(1)
+            best = rows_order(self.ids[rows], exact)[:k]
+            out.append((self.ids[rows][best], exact[best]))
+        return out
+
+
+def rows_order(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Largest score first, then smallest id."""
+    return np.lexsort((ids, -scores))
 
 
 def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
@@ -212,9 +227,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if len(left) and len(right):
             block = Block(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), projection)
             q = np.stack(right["v"].to_numpy())
-            for own, v, p, bound in zip(right["query_id"].to_numpy(), q, projection.queries(q), right["bound"].to_numpy()):
-                ids, scores = block.search(int(own), v, p, k, float(bound), beyond)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
+            ids, bounds = right["query_id"].to_numpy(), right["bound"].to_numpy(dtype=float)
+            for at in range(0, len(q), 256):
+                part = slice(at, at + 256)
+                got = block.search(ids[part], q[part], projection.queries(q[part]), k, bounds[part], beyond)
+                counts = [len(a) for a, _ in got]
+                out.append(pd.DataFrame({"query_id": np.repeat(ids[part], counts), "vec_id": np.concatenate([a for a, _ in got]), "score": np.concatenate([b for _, b in got])}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     keys = ["cell", "part", "grp"]
