@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import scratch, small_batches, table, written
+from .common import parallelism, scratch, small_batches, table, written
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
@@ -135,7 +135,9 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                         first = k
                 yield pa.RecordBatch.from_pylist(found, schema=_RECORD)
 
-    return ranges.select("file", "spans").mapInArrow(read, RECORD)
+    # a range is few bytes here but many to read: dealt out by number, as the planner would put them all in one task
+    ranges = ranges.select("file", "spans").repartition(parallelism(index.sparkSession))
+    return ranges.mapInArrow(read, RECORD)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
