@@ -25,17 +25,19 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def ngram_arrays(toks: Column, n: int = 3, padded: bool = False) -> Column:
-    """All runs of n neighbouring tokens of an array; padded: also the runs that begin in the last n - 1 places, filled with nulls."""
-    last = F.size(toks) if padded else F.size(toks) - (n - 1)
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.transform(F.sequence(i, i + n - 1), lambda j: F.get(toks, j - 1)))
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<array<string>>"))
+def ngram_structs(toks: Column, n: int = 3, padded: bool = False) -> Column:
+    """All runs of n neighbouring tokens of an array as structs w1..wn; padded: also the runs that begin in the last n - 1 places, filled with nulls.
+
+    The runs are the array zipped with itself moved on, so the tokens are taken once a place and not once a run.
+    """
+    size = F.size(toks) if padded else F.greatest(F.size(toks) - (n - 1), F.lit(0))
+    moved = [F.slice(toks, F.lit(k + 1), size) if k else F.slice(toks, F.lit(1), size) for k in range(n)]
+    return F.transform(F.arrays_zip(*moved), lambda x: F.struct(*[x[str(k)].alias(f"w{k + 1}") for k in range(n)]))
 
 
 def triples(docs: DataFrame, toks: Column, padded: bool = False) -> DataFrame:
     """(doc_id, w1, w2, w3). The runs stay inside ``toks``, so an array a document crosses sentences and one a sentence doesn't. No shuffle."""
-    g = docs.select("doc_id", F.explode(ngram_arrays(toks, 3, padded)).alias("g"))
-    return g.select("doc_id", *[F.col("g")[k].alias(w) for k, w in enumerate(TRIPLE)])
+    return docs.select("doc_id", F.inline(ngram_structs(toks, 3, padded)))
 
 
 def triple_counts(rows: DataFrame) -> DataFrame:

@@ -30,8 +30,10 @@ def extractive_answer(context: Column | str, question: Column | str) -> Column:
     """A stand-in for a reader model: the sentence of the context that has most words of the question, the first among equals."""
     c = F.col(context) if isinstance(context, str) else context
     q = F.array_distinct(words(question))
-    ranked = F.transform(sentences(c), lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(words(s)), q))).alias("n"), i.alias("i"), s.alias("s")))
-    return F.element_at(F.array_sort(ranked), 1)["s"]
+    sents = sentences(c)
+    shared = F.zip_with(sents, F.array_repeat(q, F.size(sents)), lambda s, w: F.struct((-F.size(F.array_intersect(F.array_distinct(words(s)), w))).alias("n"), s.alias("s")))
+    ranked = F.transform(shared, lambda x, i: F.struct(x["n"].alias("n"), i.alias("i"), x["s"].alias("s")))
+    return F.get(F.array_sort(ranked), F.lit(0))["s"]
 
 
 def overlap_f1(answer: Column | str, expected: Column | str) -> Column:

@@ -44,7 +44,7 @@ def distance(a: Column, b: Column, space: str = "cosine") -> Column:
 def normalized(a: Column) -> Column:
     """L2-normalized; a zero vector stays."""
     n = norm(a)
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    return F.when(n == 0, a).otherwise(F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, y: x / y))  # the norm is taken once
 
 
 def expanded(a: Column, *functions: Callable[[Column], Column]) -> Column:

@@ -137,8 +137,8 @@ def trigram_marginals(spark, d):
 
 @query(f"WITH {TOK}, b AS (SELECT token AS w1, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM tok) SELECT w1, w2, count(*) AS f FROM b WHERE w2 IS NOT NULL GROUP BY ALL ORDER BY f DESC, w1, w2 LIMIT 100")
 def bigram_top(spark, d):
-    g = docs(spark, d).select(F.explode(ngrams.ngram_arrays(X.words("text"), 2)).alias("g"))
-    return g.groupBy(F.col("g")[0].alias("w1"), F.col("g")[1].alias("w2")).agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w1", "w2").limit(100)
+    g = docs(spark, d).select(F.inline(ngrams.ngram_structs(X.words("text"), 2)))
+    return g.groupBy("w1", "w2").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w1", "w2").limit(100)
 
 
 # ---------------------------------------------------------------- text functions
