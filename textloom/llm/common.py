@@ -41,7 +41,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.scratch_path = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, once nothing that is still to run reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -49,12 +57,15 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _delete_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             continue
 

@@ -1,10 +1,13 @@
 """Repeated byte strings across a corpus, by distributed prefix doubling.
 
-A string of ``length`` bytes repeats if it starts at two positions. Positions get ranks (64-bit content hashes) for a
-prefix of half the length and then, for those that survive, rank pairs (prefix, prefix one offset on) for the doubled
-length; a position whose rank is unique leaves. In the first round a document shows only its sampled positions: of
-every run of ``length`` bytes the position with the smallest hashed half-length prefix (leftmost among equals). Equal
-runs sample the same prefix, so a run whose sample is unique in the corpus is unique, and no repeat is lost.
+A string of ``length`` bytes repeats if it starts at two positions. Positions get ranks (64-bit content hashes) for
+prefixes that grow towards ``length``: first half of it, then by half of what is missing, and last, as a pair of ranks
+one offset apart, the whole. The last round first looks at whole stretches of starts that share a sample: if the bytes
+under a stretch stand elsewhere too, all its starts repeat. Only where a stretch is unlike all others of its sample
+(where a repeat begins or ends) its single starts, and one copy of each other such stretch, get rank pairs. After each round Spark groups equal ranks and positions of a unique rank leave. Before
+the last round a document shows only sampled positions: of every run of ``length`` bytes the place with the smallest
+hashed prefix of the round's length inside it (leftmost among equals). Equal runs sample equal prefixes, so a run
+whose sample is unique in the corpus is unique, and no repeat is lost.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, small_batches, table, written
+from .common import bounded, discard, small_batches, table, written
 
 LENGTH = 400
-#: Rows that a task holds before it hands them on.
+#: Rows of a batch that a task hands on.
 FLUSH = 100_000
 _MASK = (1 << 64) - 1
 
@@ -56,6 +59,14 @@ class Ranks:
         x ^= x >> np.uint64(29)
         return x
 
+    def under(self, sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Content hashes of substrings of any lengths."""
+        x = (sums[starts + lengths] - sums[starts]) * self.inverse[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        return x
+
 
 def sampled(ranks: np.ndarray, window: int) -> np.ndarray:
     """For each run of ``window`` positions the leftmost one of smallest rank (compared by its high bits)."""
@@ -79,71 +90,112 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def sample_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(rank, key, own) for the sampled positions of each text of (key, text): the distinct ranks, and whether one comes twice in it."""
-    half = length // 2
+def rounds(length: int) -> list[int]:
+    """Prefix lengths of the sampled rounds."""
+    return sorted({length // 2, length - length // 4, length - length // 8})
+
+
+def _survivors(sums: np.ndarray, hashes: Ranks, length: int, prefix: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the runs whose sampled prefix is among the repeated ranks, their samples' places, and all ranks."""
+    r = hashes.ranks(sums, prefix)
+    of_run = sampled(r, length - prefix + 1)
+    here, again = steps(of_run), np.zeros(len(r), bool)
+    again[here] = np.isin(r[here], repeated)
+    at = np.flatnonzero(again[of_run])
+    return at, of_run[at], r
+
+
+def sample_rows(docs: DataFrame, length: int, prefix: int, before: int | None = None) -> DataFrame:
+    """(rank, key, own) for the sampled prefixes of each text: its distinct ranks, and whether one stands at two places of it.
+
+    docs: (key, text), or (key, text, ranks) with the repeated ranks of the round ``before``, whose runs alone are looked at.
+    """
     schema = pa.schema([("rank", pa.int64()), ("key", pa.int64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Ranks()
         for batch in batches:
             ranks, keys, own = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 data = np.frombuffer(text.encode(), np.uint8)
                 if len(data) < length:
                     continue
-                r = hashes.ranks(hashes.sums(data), half)
-                at = steps(sampled(r, length - half + 1))
-                u, n = np.unique(r[at], return_counts=True)
+                sums = hashes.sums(data)
+                r = hashes.ranks(sums, prefix)
+                of_run = sampled(r, length - prefix + 1)
+                if before is not None:
+                    of_run = of_run[_survivors(sums, hashes, length, before, batch.column(2)[k].values.to_numpy().view(np.uint64))[0]]
+                if not len(of_run):
+                    continue
+                u, n = np.unique(r[steps(of_run)], return_counts=True)
                 ranks.append(u)
                 own.append(n > 1)
                 keys.append(np.full(len(u), key, np.int64))
             if ranks:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(ranks)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(own))], schema=schema)
 
-    return docs.select("key", "text").mapInArrow(run, "rank long, key long, own boolean")
+    return docs.mapInArrow(run, "rank long, key long, own boolean")
 
 
-def doubled_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(near, far, key, at): rank pairs of the positions whose sample is one of the text's repeated ranks; docs: (key, text, ranks)."""
-    half = length // 2
-    schema = pa.schema([("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
+def stretch_rows(docs: DataFrame, length: int, before: int) -> DataFrame:
+    """(rank, under, n, key, lo): stretches of n surviving starts from lo on that share a sample of that rank, and the rank of
+    the bytes under them; docs: (key, text, ranks)."""
+    schema = pa.schema([("rank", pa.int64()), ("under", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("lo", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, rows = Ranks(), [], 0
+        hashes = Ranks()
+        for batch in batches:
+            held = []
+            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                sums = hashes.sums(np.frombuffer(text.encode(), np.uint8))
+                at, sample, r = _survivors(sums, hashes, length, before, batch.column(2)[k].values.to_numpy().view(np.uint64))
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (sample[1:] != sample[:-1])]))
+                n = np.diff(np.append(first, len(at)))
+                lo = at[first]
+                held.append((r[sample[first]], hashes.under(sums, lo, n - 1 + length), n.astype(np.int32), np.full(len(lo), key, np.int64), lo.astype(np.int32)))
+            if held:
+                rank, under, n, keys, lo = (np.concatenate(c) for c in zip(*held))
+                yield pa.RecordBatch.from_arrays([_signed(rank), _signed(under), pa.array(n), pa.array(keys), pa.array(lo)], schema=schema)
+
+    return docs.mapInArrow(run, "rank long, under long, n int, key long, lo int")
 
-        def flush() -> pa.RecordBatch:
-            near, far, keys, at = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            return pa.RecordBatch.from_arrays([_signed(near), _signed(far), pa.array(keys), pa.array(at)], schema=schema)
 
+def doubled_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(near, far, key, at): rank pairs that cover ``length`` bytes from each start; docs: (key, text, los, ns), the last two of stretches."""
+    half = length - length // 2
+    schema = pa.schema([("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Ranks()
         for batch in batches:
             for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                data = np.frombuffer(text.encode(), np.uint8)
-                repeated = batch.column(2)[k].values.to_numpy().view(np.uint64)
-                r = hashes.ranks(hashes.sums(data), half)
-                of_run = sampled(r, length - half + 1)
-                here, again = steps(of_run), np.zeros(len(r), bool)
-                again[here] = np.isin(r[here], repeated)
-                at = np.flatnonzero(again[of_run])
-                if len(at):
-                    held.append((r[at], r[at + length - half], np.full(len(at), key, np.int64), at.astype(np.int32)))
-                    rows += len(at)
-                if rows >= FLUSH:
-                    yield flush()
-                    rows = 0
-        if held:
-            yield flush()
-
-    return docs.select("key", "text", "ranks").mapInArrow(run, "near long, far long, key long, at int")
-
-
-def covered_runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by ``length`` bytes from each start."""
-    starts = np.unique(starts)
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + length]))
-    ends = np.append(starts[new[1:] - 1], starts[-1]) + length
-    return list(zip(starts[new].tolist(), ends.tolist()))
+                lo, n = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in (2, 3))
+                r = hashes.ranks(hashes.sums(np.frombuffer(text.encode(), np.uint8)), half)
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                for a in range(0, len(at), FLUSH):
+                    x = at[a : a + FLUSH]
+                    yield pa.RecordBatch.from_arrays([_signed(r[x]), _signed(r[x + length - half]), pa.array(np.full(len(x), key, np.int64)), pa.array(x.astype(np.int32))], schema=schema)
+
+    return docs.mapInArrow(run, "near long, far long, key long, at int")
+
+
+def repeated_of(samples: DataFrame) -> DataFrame:
+    """(key, ranks): the ranks of each text that also stand in another text or twice in one."""
+    samples = written(samples, "repeats-samples")
+    shared = samples.groupBy("rank").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("own").alias("own")).where("a < b OR own").select("rank")
+    ranks = written(samples.join(shared, "rank").groupBy("key").agg(F.collect_set("rank").alias("ranks")), "repeats-ranks")
+    discard(samples)
+    return ranks
+
+
+def covered_runs(lo: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal runs covered by ``length`` bytes from each of n starts from each lo."""
+    order = np.argsort(lo, kind="stable")
+    a, b = lo[order], np.maximum.accumulate((lo + n - 1 + length)[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[new].tolist(), np.append(b[new[1:] - 1], b[-1]).tolist()))
 
 
 def cut_runs(data: bytes, runs: list[tuple[int, int]], whole_characters: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
@@ -176,17 +228,27 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     copies = texts.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes")).where("n > 1")
     copies = written(copies, "repeats-copies")
 
-    ranks = written(sample_rows(texts, length), "repeats-samples")
-    shared = ranks.groupBy("rank").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("own").alias("own")).where("a < b OR own").select("rank")
-    mine = ranks.join(shared, "rank").groupBy("key").agg(F.collect_set("rank").alias("ranks"))
-    mine = written(mine, "repeats-mine")
-    texts = texts.join(bounded(mine.select("key")), "key", "left_semi")
-    chosen = written(texts.join(mine, "key").dropDuplicates(["digest"]).withColumn("key", F.xxhash64("digest")), "repeats-chosen")
-
-    places = written(doubled_rows(chosen, length), "repeats-pairs")
+    first, *later = rounds(length)
+    mine = repeated_of(sample_rows(texts.select("key", "text"), length, first))
+    found = texts.join(bounded(mine.select("key")), "key", "left_semi").dropDuplicates(["digest"])
+    chosen = written(found, "repeats-chosen")
+    before = first
+    for prefix in later:
+        last, mine = mine, repeated_of(sample_rows(chosen.join(mine, "key").select("key", "text", "ranks"), length, prefix, before))
+        discard(last)
+        before = prefix
+    stretches = written(stretch_rows(chosen.join(mine, "key").select("key", "text", "ranks"), length, before), "repeats-stretches")
+    discard(mine)
+    kinds = stretches.groupBy("rank", "under", "n").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("one"))
+    kinds = written(kinds, "repeats-kinds")
+    edges = kinds.groupBy("rank").agg(F.min("c").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("rank")
+    lone = kinds.join(edges, "rank").select("one.key", "one.lo", "n").groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
+    places = written(doubled_rows(chosen.join(lone, "key").select("key", "text", F.col("s.lo").alias("los"), F.col("s.n").alias("ns")), length), "repeats-pairs")
     again = places.groupBy("near", "far").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = places.join(again, ["near", "far"]).groupBy("key").agg(F.collect_list("at").alias("at"))
-    found = chosen.join(starts, "key").join(copies, "digest", "left_anti").select("digest", "text", "at")
+    single = places.join(again, ["near", "far"]).select("key", F.col("at").alias("lo"), F.lit(1).alias("n"))
+    alike = stretches.join(kinds.where("c > 1").select("rank", "under", "n"), ["rank", "under", "n"]).select("key", "lo", "n")
+    starts = alike.union(single).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
+    found = chosen.join(starts, "key").join(copies, "digest", "left_anti").select("digest", "text", F.col("s.lo").alias("los"), F.col("s.n").alias("ns"))
     schema = pa.schema([("digest", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +256,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool
             out = []
             for k, (digest, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 data = text.encode()
-                kept, cut = cut_runs(data, covered_runs(batch.column(2)[k].values.to_numpy(), length), whole_characters)
+                kept, cut = cut_runs(data, covered_runs(*(batch.column(c)[k].values.to_numpy().astype(np.int64) for c in (2, 3)), length), whole_characters)
                 out.append((digest, len(data) - len(kept), len(cut), kept, [[a, b] for a, b in cut]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
