@@ -246,7 +246,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     homes = searched(first, spread.where("part = 0"))
     bounds = homes.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
     length2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    bounded = asked.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce(F.greatest(F.lit(0.0), F.lit(norm2) + length2 - 2 * F.col("least")) + 1e-9, F.lit(float("inf"))).alias("bound"))
+    bounded = asked.join(bounds, "query_id", "left").select("query_id", "v", F.when(F.col("least").isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), F.lit(norm2) + length2 - 2 * F.col("least")) + 1e-9).alias("bound"))
     second = searched(written(bounded, "ann-bounds").mapInArrow(visit(False), plan), spread)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return second.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
