@@ -37,6 +37,3 @@ def docs(spark, texts):
 def empty(spark, docs):
     return spark.createDataFrame([], docs.schema)
 
-
-def by_id(rows):
-    return {r.doc_id: r for r in rows}

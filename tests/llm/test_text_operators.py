@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm import components, decontaminate, exact_repeats, packing, sharding, simhash, token_counts
 
-from .conftest import by_id
+
+def by_id(rows):
+    return {r.doc_id: r for r in rows}
 
 
 def low(t):
