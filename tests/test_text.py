@@ -91,3 +91,12 @@ def test_measures(spark):
     assert row.mi_two == pytest.approx(14.28771) and row.mi_like == pytest.approx(64 / 6000)
     big = one(spark, "", measures.t_score(*[F.lit(x) for x in (5, 10**9, 10**9, 10**9, 10**10)]))[0]
     assert big == pytest.approx((5 - 1e27 / 1e20) / 5**0.5)
+
+
+def test_protected_sentences(spark):
+    from textloom.functions.protected import protected_sentences, split_protected
+
+    text = "Mail a.b@c.org now. Dr. No paid 3.50 at www.x.com! Call +7 901 000.00.00, e.g. today?! Last one"
+    want = ["Mail a.b@c.org now.", "Dr. No paid 3.50 at www.x.com!", "Call +7 901 000.00.00, e.g. today?!", "Last one"]
+    assert split_protected(text) == want and split_protected("") == []
+    assert one(spark, text, protected_sentences()(F.col("t")))[0] == want

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import measures as M, stem as stemming, text as X
 from ..functions.lexer import typed_tokens
+from ..functions.protected import protected_sentences
 from ..operators import chunks, metrics, models, ngrams, qa, relational as R, search, vectors as V, weights as T
 from ..streaming import events as E
 
@@ -192,6 +193,16 @@ def social_clean(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.social_clean("text")).alias("n"))
 
 
+@query(None)
+def sentences_protected(spark, d):
+    return docs(spark, d).select("doc_id", F.size(protected_sentences()(F.col("text"))).alias("n"))
+
+
+@query(None)
+def sentences_of_tokens(spark, d):
+    return docs(spark, d).select("doc_id", F.size(X.sentences_of_tokens(X.tokens("text", "tweet"))).alias("n"))
+
+
 @query(None)
 def typed_lexer(spark, d):
     rows = docs(spark, d).select("doc_id", F.explode(typed_tokens()(F.col("text"))).alias("t"))
@@ -516,6 +527,28 @@ def word2vec_documents(spark, d):
     return V.document_vectors(tok, table, 16, "known")
 
 
+@query(None)
+def similar_words(spark, d):
+    _, table = models.word_vectors(english(spark, d), X.words("text"), dims=16, min_count=5)
+    return V.similar_words(table, ["the"], ["of"], 10)
+
+
+@query(None)
+def lsh_neighbours(spark, d):
+    first = t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+    return search.lsh_knn(t(spark, d, "embeddings"), first, 10, id_col="vec_id")
+
+
+@query(f"""WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r, CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS total FROM c),
+    x AS (SELECT doc_id, total, max(n) FILTER (r = 1) / total AS x, max(n) FILTER (r = 2) / total AS y, max(n) FILTER (r = 3) / total AS z FROM r GROUP BY doc_id, total)
+    SELECT doc_id, round(2 * total * (x * log2(x / (x * z * y * z))), 6) AS score FROM x WHERE z IS NOT NULL""")
+def document_loglik_top(spark, d):
+    counts = ngrams.token_table(docs(spark, d)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    top = counts.groupBy("doc_id").agg(F.sum("n").cast("double").alias("total"), F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 3).alias("top"))
+    x, y, z = (F.col("top")[k] / F.col("total") for k in range(3))
+    return top.where("size(top) = 3").select("doc_id", six(M.log_likelihood_top(F.col("total"), x, x, y, z)).alias("score"))
+
+
 @query(None)
 def pca_embeddings(spark, d):
     return models.reduced(t(spark, d, "embeddings"), "embedding", 2).select("vec_id", "reduced")
