@@ -110,12 +110,19 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     near = pair.where(chain_holds & (F.bit_count(differ) <= most)).select("u", "v")
 
     inner, outer = most // 2, -(-most // 2)
-    masks = F.lit(None).cast("array<struct<x:bigint,d:int>>")
+    flips = {}
     for k in range(m):
         free = [b for b in range(BITS) if not chains[k][head - 1] >> b & 1]
-        flips = [(0, 0)] + [(sum(1 << b for b in c), d) for d in range(1, outer + 1) for c in combinations(free, d)]
-        masks = F.when(F.col("at") == k, F.array(*[F.struct(F.lit(_signed(x)).alias("x"), F.lit(d).alias("d")) for x, d in flips])).otherwise(masks)
-    many = met.where(F.col("n") > PAIRED).select("at", "key", "fp", F.explode(masks).alias("f"))
+        flips[k] = [(0, 0)] + [(_signed(sum(1 << b for b in c)), d) for d in range(1, outer + 1) for c in combinations(free, d)]
+    many = met.where(F.col("n") > PAIRED).select("at", "key", "fp")
+    if outer == 1:
+        masks = F.lit(None).cast("array<struct<x:bigint,d:int>>")
+        for k, pairs in flips.items():
+            masks = F.when(F.col("at") == k, F.array(*[F.struct(F.lit(x).alias("x"), F.lit(d).alias("d")) for x, d in pairs])).otherwise(masks)
+        many = many.select("at", "key", "fp", F.explode(masks).alias("f"))
+    else:  # too many flips for literals; their number depends on ``most`` alone
+        listed = fps.sparkSession.createDataFrame([(k, (x, d)) for k, pairs in flips.items() for x, d in pairs], "at int, f struct<x:bigint,d:int>")
+        many = many.join(F.broadcast(listed), "at")
     hubs = many.select("at", "fp", F.col("fp").bitwiseXOR(F.col("f.x")).alias("hub"), F.col("f.d").alias("d"))
     centres = hubs.groupBy("at", "hub").agg(F.min(F.when(F.col("d") <= inner, F.col("fp"))).alias("u"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("u IS NOT NULL AND a < b").drop("a", "b")
     stars = hubs.join(centres, ["at", "hub"]).where("u <> fp").select("u", F.col("fp").alias("v")).distinct()
@@ -139,6 +146,8 @@ def simhash_components(docs: DataFrame, words: int = 5, most: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
+#: Texts of a bucket of near_duplicates up to which all its pairs are compared.
+COMPARED = 4
 #: The wide fingerprint of near_duplicates: segments on its ring, bits of a segment, and the share of bits that may differ.
 SEGMENTS, SEGMENT_BITS, DIFFER = 40, 24, 0.15
 
@@ -186,7 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at least
     ``similarity``; equal texts are one. Candidates come from a wide SimHash of the distinct words: texts meet on an equal
-    segment, and pairs that the pigeonring prunes are never compared. A segment's bucket of more than PAIRED texts tries
+    segment, and pairs that the pigeonring prunes are never compared. A segment's bucket of more than COMPARED texts tries
     its texts against its centre only, the text nearest to the majority of a salted draw of its fingerprints, so rows stay
     in proportion to the texts. Null and blank texts link to nothing but equal ones; null ids never name a class unless
     it has no other; an empty table gives an empty table; other columns are left out.
@@ -209,10 +218,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     keyed = nodes.select("key", F.posexplode("segments").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keyed.join(sizes, "bucket"), "near-met")
-    few = met.where(F.col("n") <= PAIRED).select("bucket", "key")
+    few = met.where(F.col("n") <= COMPARED).select("bucket", "key")
     pairs = few.withColumnRenamed("key", "u").join(few.withColumnRenamed("key", "v"), "bucket").where("u < v").select("u", "v")
 
-    many = met.where(F.col("n") > PAIRED).select("bucket", "key")
+    many = met.where(F.col("n") > COMPARED).select("bucket", "key")
     drawn = many.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(PAIRED)).alias("salt")).agg(F.min(F.xxhash64("key", "bucket")).alias("h"), F.min_by("key", F.xxhash64("key", "bucket")).alias("key"))
     drawn = drawn.join(nodes.select("key", "segments"), "key").groupBy("bucket").agg(F.collect_list("segments").alias("drawn"))
 
