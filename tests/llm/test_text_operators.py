@@ -265,8 +265,10 @@ def test_sum_of_squares_prefers_even_counts():
     p = packing.SumOfSquares(10)
     for n in (4, 4, 6):
         p.add((0, 0, b"abcd" * n, n))
-    assert p.counts[4] == 1 and p.open == 1  # the 6 filled a 4
-    assert [sum(len(x[2]) // 4 for x in w) for w in p.close()] == [4]
+    # the second 4 moves the first window to 8 (change 0, a new window 3); the 6 fits nowhere else than in a new one
+    assert p.counts[8] == p.counts[6] == 1 and p.counts.sum() == p.open == 2
+    assert p.add((0, 0, b"abcd" * 2, 2)) and p.counts[8] == 0  # filling the 8 is best
+    assert [sum(len(x[2]) // 4 for x in w) for w in p.close()] == [6] and p.open == 0
 
 
 def test_token_rollup(spark, empty):
