@@ -289,3 +289,19 @@ def test_token_rollup(spark, empty):
         raise AssertionError
     except Exception as e:
         assert "unknown change" in str(e)
+
+
+def test_near_duplicates_that_differ_by_a_block(spark):
+    rng = np.random.default_rng(8)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    texts = []
+    for n in range(80, 480, 4):
+        base = new(n)
+        cut = int((n - 4) * rng.uniform(0.81, 0.85))
+        swap = int((n - 4) * rng.uniform(0.895, 0.92))
+        texts += [base, base + new(int((n - 4) * rng.uniform(0.18, 0.245))), (other := new(n)), other[: cut + 4], (third := new(n)), third[:swap] + new(n - swap)]
+    texts = [" ".join(t) for t in texts]
+    near = [i for i in range(0, len(texts), 2) if len(shingles(texts[i]) & shingles(texts[i + 1])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[i + 1]))]
+    assert len(near) > 250
+    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
+    assert got == {i: i - 1 if i % 2 and i - 1 in near else i for i in range(len(texts))}

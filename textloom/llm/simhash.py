@@ -146,35 +146,8 @@ def simhash_components(docs: DataFrame, words: int = 5, most: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
-#: Texts of a bucket of near_duplicates up to which all its pairs are compared.
-COMPARED = 4
-#: The wide fingerprint of near_duplicates: segments on its ring, bits of a segment, and the share of bits that may differ.
-SEGMENTS, SEGMENT_BITS, DIFFER = 40, 24, 0.15
-
-
-class WideFingerprint:
-    """SimHash of a text's distinct words with SEGMENTS * SEGMENT_BITS bits, word by word from tables of random bits."""
-
-    def __init__(self, seed: int = 3):
-        self.tables = np.random.default_rng(seed).integers(0, 256, (8, 256, SEGMENTS * SEGMENT_BITS // 8), dtype=np.uint8)
-
-    def __call__(self, data: bytes) -> np.ndarray:
-        """SEGMENTS integers of SEGMENT_BITS bits."""
-        from xxhash import xxh64_digest
-
-        words = set(data.lower().split())
-        if not words:
-            return np.zeros(SEGMENTS, np.int32)
-        codes = np.frombuffer(b"".join([xxh64_digest(w, SEED) for w in words]), np.uint8).reshape(-1, 8)
-        ones = np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
-        for at in range(0, len(codes), 4080):
-            c = codes[at : at + 4080]
-            rows = self.tables[0][c[:, 0]]
-            for k in range(1, 8):
-                rows ^= self.tables[k][c[:, k]]
-            ones += ones_of(rows)
-        bits = np.packbits((2 * ones > len(words)).reshape(SEGMENTS, SEGMENT_BITS), axis=1).astype(np.int32)
-        return bits[:, 0] << 16 | bits[:, 1] << 8 | bits[:, 2]
+#: One text in SAMPLED counts for the shingles that are common; those that SAMPLE_HITS of them hold, COMMON at most, go last in the order of near_duplicates.
+SAMPLED, SAMPLE_HITS, COMMON = 16, 8, 200_000
 
 
 def ring_holds(differ: np.ndarray, most: float) -> np.ndarray:
@@ -190,80 +163,104 @@ def ring_holds(differ: np.ndarray, most: float) -> np.ndarray:
     return alive.any(1)
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingles of a text as longs, in ascending order."""
+    return np.unique(np.frombuffer(b"".join(shingle_digests(text.encode(), words)), np.int64))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row's doc_id, key, md5, class_id): class_id is the smallest doc_id of the texts that near-duplicate links connect.
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at least
-    ``similarity``; equal texts are one. Candidates come from a wide SimHash of the distinct words: texts meet on an equal
-    segment, and pairs that the pigeonring prunes are never compared. A segment's bucket of more than COMPARED texts tries
-    its texts against its centre only, the text nearest to the majority of a salted draw of its fingerprints, so rows stay
-    in proportion to the texts. Null and blank texts link to nothing but equal ones; null ids never name a class unless
-    it has no other; an empty table gives an empty table; other columns are left out.
+    ``similarity``; equal texts are one. Candidates come from a prefix filter: with all sets in one order, two sets of m
+    and n shingles that have at least c in common share one before the last c - 1 of each. The order is free, so
+    shingles that a sample finds common go last, where few texts look for them; no pair depends on the sample. Texts
+    that share a prefix shingle first link to a pivot of it; then every pair of a shingle is tried that these links don't
+    connect already, so what is connected is exact and the rows of a large group follow its texts. Null and blank texts
+    link to nothing but equal ones; null ids never name a class unless it has no other; an empty table gives an empty
+    table; other columns are left out.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text")).withColumn("md5", F.md5("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("md5", pa.string()), ("segments", pa.list_(pa.int32()))])
+    rows = written(plain.select("doc_id", "key", "md5"), "near-rows")
+    # a key that two texts share belongs to the one of smaller md5; the other stands alone
+    nodes = written(rows.groupBy("key").agg(F.min("md5").alias("owner"), F.max("md5").alias("last")), "near-nodes")
+    strangers = rows.join(nodes.where("owner <> last"), "key").where("md5 <> owner").select("key", "md5").distinct()
+    owners = plain.join(bounded(strangers), ["key", "md5"], "left_anti")
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = WideFingerprint()
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [of(t.encode()) for t in b.column(1).to_pylist()]
-            flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * SEGMENTS), flat)], schema=schema)
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], names=["token"])
 
-    rows = written(plain.mapInArrow(wide, "doc_id long, key long, md5 string, segments array<int>"), "near-rows")
-    # a key that two texts share belongs to the one of smaller md5; the other stands alone
-    nodes = written(rows.groupBy("key").agg(F.min("md5").alias("md5"), F.min_by("segments", "md5").alias("segments")), "near-nodes")
-    keyed = nodes.select("key", F.posexplode("segments").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keyed.join(sizes, "bucket"), "near-met")
-    few = met.where(F.col("n") <= COMPARED).select("bucket", "key")
-    pairs = few.withColumnRenamed("key", "u").join(few.withColumnRenamed("key", "v"), "bucket").where("u < v").select("u", "v")
-
-    many = met.where(F.col("n") > COMPARED).select("bucket", "key")
-    drawn = many.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(PAIRED)).alias("salt")).agg(F.min(F.xxhash64("key", "bucket")).alias("h"), F.min_by("key", F.xxhash64("key", "bucket")).alias("key"))
-    drawn = drawn.join(nodes.select("key", "segments"), "key").groupBy("bucket").agg(F.collect_list("segments").alias("drawn"))
-
-    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.arange(SEGMENT_BITS)
-        for b in batches:
-            got = []
-            for lists in b.column(1).to_pylist():
-                bits = np.array(lists)[:, :, None] >> shift & 1
-                got.append((((2 * bits.sum(0) > len(lists)) << shift).sum(1)).astype(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["bucket", "centre"])
-
-    centres = drawn.mapInArrow(majority, "bucket long, centre array<int>")
-    far = F.aggregate(F.zip_with("segments", "centre", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    nearest = many.join(nodes.select("key", "segments"), "key").join(centres, "bucket").groupBy("bucket").agg(F.min(F.struct(far.alias("d"), F.col("key"))).alias("c")).select("bucket", F.col("c.key").alias("c"))
-    stars = many.join(nearest, "bucket").where("key <> c").select(F.least("key", "c").alias("u"), F.greatest("key", "c").alias("v"))
-    pairs = pairs.union(stars).distinct()
-    sides = pairs.join(nodes.select(F.col("key").alias("u"), F.col("segments").alias("a")), "u").join(nodes.select(F.col("key").alias("v"), F.col("segments").alias("b")), "v").select("u", "v", "a", "b")
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = (b.column(k).flatten().to_numpy().reshape(-1, SEGMENTS) for k in (2, 3))
-            good = ring_holds(np.bitwise_count(a ^ c).astype(np.int32), DIFFER * SEGMENTS * SEGMENT_BITS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good))
+    sample = owners.where(F.pmod(F.xxhash64("md5"), F.lit(SAMPLED)) == 0).dropDuplicates(["key"]).select("text")
+    often = sample.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
+    found = sorted((r["token"], r["n"]) for r in often.orderBy(F.desc("n"), "token").limit(COMMON).collect())
+    common, counts = np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+    def ordered(s: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return s
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
 
-    pairs = written(sides.mapInArrow(prune, "u long, v long"), "near-pairs")
-    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct().join(nodes.select("key", "md5"), "key")
-    set_schema = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    prefix_schema = pa.schema([("key", pa.int64()), ("token", pa.int64()), ("rest", pa.int32()), ("n", pa.int32())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [ordered(shingle_set(t, words)) for t in b.column(1).to_pylist()]
+            if not sets:
+                continue
+            n = np.array([len(s) for s in sets], np.int64)
+            take = np.where(n > 0, n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1, 0)
+            token = np.concatenate([s[:k] for s, k in zip(sets, take)])
+            rest = np.concatenate([np.arange(m, m - k, -1) for m, k in zip(n, take)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), take))), pa.array(token), pa.array(rest.astype(np.int32)), pa.array(np.repeat(n, take).astype(np.int32))], schema=prefix_schema)
+
+    # rest: the shingles from this one on; first: whether a partner of the same size or larger can have it as first common one
+    share = similarity / (1 + similarity)
+    heads = written(owners.select("key", "text").mapInArrow(prefixes, "key long, token long, rest int, n int"), "near-heads")
+    heads = heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6)
+    ends = heads.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("first").alias("first"))
+    met = written(heads.join(bounded(written(ends.where("a < b AND first").select("token"), "near-tokens")), "token").distinct(), "near-met")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) whose sets are similar enough."""
+        pairs = written(pairs, "near-pairs")
+        wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+        sets = written(owners.join(bounded(wanted), "key").select("key", "text").mapInArrow(shingles, "key long, s array<bigint>").groupBy("key").agg(F.first("s").alias("s")), "near-sets")
+        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return written(both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
+
+    set_schema = pa.schema([("key", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.frombuffer(b"".join({*shingle_digests(t.encode(), words)}), np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=set_schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], schema=set_schema)
+
+    fits = lambda x, y: (F.col(f"{x}.rest") >= F.lit(share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6) & (F.col(f"{y}.rest") >= F.lit(share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6)
+    ordered_pair = [F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")]
+    # shingles of many texts: one of four pivots, drawn among the texts, gets them all
+    drawn = F.struct(F.xxhash64("key", F.pmod("token", F.lit(4))).alias("h"), "key", "rest", "n")
+    pivots = met.groupBy("token").agg(F.count("*").alias("size"), F.min(drawn).alias("p")).where(F.col("size") > PAIRED).select("token", "p.key", "p.rest", "p.n")
+    stars = met.alias("x").join(pivots.alias("y"), "token").where((F.col("x.key") != F.col("y.key")) & fits("x", "y")).select(*ordered_pair).distinct()
+    linked = similar(stars)
+    roots = connected_components(linked)
 
-    chosen = plain.join(bounded(wanted), ["key", "md5"]).select("key", "text").mapInArrow(shingles, "key long, shingles array<bigint>")
-    sets = written(chosen.groupBy("key").agg(F.first("shingles").alias("s")), "near-sets")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    linked = both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).where("size(a) > 0").select("u", "v")
+    # then all pairs that are not connected yet: those outside a shingle's largest part against all its texts
+    placed = written(met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
+    parts = placed.groupBy("token", "root").agg(F.count("*").alias("size"))
+    split = parts.groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("most.root").alias("most"))
+    open_ = written(placed.join(split, "token"), "near-open")
+    few, small, large = F.col("root") != F.col("most"), open_.where("first"), open_
+    apart = (F.col("x.n") <= F.col("y.n")) & (F.col("x.root") != F.col("y.root")) & fits("x", "y")
+    pair = lambda a, b: a.alias("x").join(b.alias("y"), "token").where(apart).select(*ordered_pair)
+    linked = linked.union(similar(pair(small.where(few), large).union(pair(small.where(~few), large.where(few))).distinct()))
 
     roots = connected_components(linked)
-    named = rows.join(nodes.select("key", F.col("md5").alias("owner")), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    named = rows.join(nodes.select("key", "owner"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     label = F.when(F.col("md5") == F.col("owner"), F.coalesce("root", "key").cast("string")).otherwise(F.col("md5"))
     named = named.select("doc_id", "key", "md5", label.alias("class"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
