@@ -305,3 +305,19 @@ def test_near_duplicates_that_differ_by_a_block(spark):
     assert len(near) > 250
     got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
     assert got == {i: i - 1 if i % 2 and i - 1 in near else i for i in range(len(texts))}
+
+
+def test_near_duplicates_among_texts_of_a_template(spark):
+    rng = np.random.default_rng(9)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+    template, texts = new(255), []
+    for _ in range(1500):
+        texts.append(template + new(45))
+    for i in range(60):  # two thirds of the tail of another text
+        texts.append(texts[i][:-15] + new(15))
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(alike(i, 1500 + i) >= 0.8 > alike(i, i + 1) for i in range(60))
+    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
+    assert got == {i: i - 1500 if i >= 1500 else i for i in range(1560)}
