@@ -28,3 +28,14 @@ def test_run(spark):
     assert [n for n, _ in pipeline.STAGES] == ["language ID", "SimHash near-dedup", "suffix-array dedup", "benchmark decontamination", "packing"]
     got = pipeline.run(spark, SF)
     assert "sequence_id" in got.columns and got.count() > 50
+
+
+def test_repeats_of_short_words(spark):
+    words = lambda a, n: " ".join(f"{k % 90 + 10}" for k in range(a, a + 7 * n, 7))
+    passage, below = words(3, 51), " ".join("zyxw"[k % 4] + str(k % 9) for k in range(50))
+    long = lambda c: " ".join(f"{c}{k}word" for k in range(60))
+    texts = [f"{long('a')} {passage} {long('b')}", f"{long('c')} {passage}", f"{passage} é {long('d')}", f"{long('e')} {below} {long('f')}", f"{long('g')} {below} {long('h')}", passage]
+    assert len(passage) < 240 and len(below) < 240
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.repeats(spark, docs, SF).collect()}
+    assert got == {0: f"{long('a')}  {long('b')}", 1: long("c"), 2: f"é {long('d')}", 3: texts[3], 4: texts[4]}

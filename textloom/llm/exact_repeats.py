@@ -13,6 +13,7 @@ whose sample is unique in the corpus is unique, and no repeat is lost.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -264,6 +265,52 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     return found.mapInArrow(run, "digest string, n_removed long, n_spans long, kept binary, spans array<array<bigint>>").union(whole)
 
 
+def word_windows(data: bytes, words: int, below: int) -> list[tuple[int, int]]:
+    """Byte ranges of all runs of ``words`` words that take fewer than ``below`` bytes."""
+    at = [(m.start(), m.end()) for m in re.finditer(rb"\S+", data)]
+    return [(a, b) for (a, _), (_, b) in zip(at, at[words - 1 :]) if b - a < below]
+
+
+def repeated_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """(digest, kept) of the distinct texts that lose bytes to passages of ``length`` bytes or of ``words`` words.
+
+    The first are those of ``repeated_runs``, characters kept whole. A passage of ``words`` words with fewer bytes holds
+    no such run, so these windows (few in prose) are compared by content hash, over all documents (id, text) too.
+    """
+    runs = written(repeated_runs(docs, length, whole_characters=True).select("digest", "kept", "spans"), "repeats-runs")
+    texts = docs.where(F.octet_length("text") >= 2 * words - 1).select("text", F.sha2("text", 256).alias("digest"))
+    window_schema = pa.schema([("hash", pa.int64()), ("digest", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = text.encode()
+                found = word_windows(data, words, length)
+                for at in range(0, len(found), FLUSH):
+                    part = found[at : at + FLUSH]
+                    hashes = np.array([xxh64_intdigest(data[a:b], 11) for a, b in part], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([digest] * len(part)), *(pa.array(x) for x in zip(*part))], schema=window_schema)
+
+    found = written(texts.mapInArrow(windows, "hash long, digest string, a long, b long"), "repeats-words")
+    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    short = found.join(bounded(written(again, "repeats-again")), "hash").groupBy("digest").agg(F.collect_set(F.array("a", "b")).alias("short"))
+    short = written(short.join(runs.select("digest", "spans"), "digest", "left").select("digest", F.concat("short", F.coalesce("spans", F.array().cast("array<array<bigint>>"))).alias("spans")), "repeats-short")
+    chosen = texts.join(bounded(short), "digest").dropDuplicates(["digest"]).select("digest", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lo, hi = np.array(spans, np.int64).T
+                kept.append(cut_runs(text.encode(), covered_runs(lo, hi - lo, 1), whole_characters=True)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["digest", "kept"])
+
+    rest = runs.join(bounded(short.select("digest")), "digest", "left_anti").select("digest", "kept")
+    return rest.union(chosen.mapInArrow(cut, "digest string, kept binary"))
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lost = repeated_runs(docs).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
