@@ -132,3 +132,10 @@ def test_compiled_network_equals_the_trained_one():
     z = np.maximum(np.concatenate(pooled, 1) + net.bias, 0) @ net.out + net.out_bias
     p = np.exp(z - z.max(1, keepdims=True))
     assert np.allclose(net.compiled().scores(x), p / p.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_langid_learns_more_labels_than_the_row_bound_was_made_for(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(k, f"{chr(97 + k % 8) * 3} " * 20, f"l{k % 8}") for k in range(160)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_a_language=8)
+    assert net.labels == [f"l{k}" for k in range(8)]

@@ -15,7 +15,7 @@ from .common import small_batches, table
 #: Bytes of a window; a text is cut into such windows, all of them scored.
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 8, 8
-#: The training sample: at most so many documents of each language, and so many windows of each document.
+#: The training sample: at most so many documents of each language, fewer where there are over LANGUAGES of them, and so many windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 240, 6, 64
 PREDICTED = "held_out boolean, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -126,14 +126,16 @@ def held_out(id_col) -> object:
 def fit(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, seed: int = 1) -> ByteConvNet:
     """Train on a bounded sample of the labelled rows that aren't held out.
 
-    The sample: of the LANGUAGES first language names, the ``docs_a_language`` documents of smallest hashed id, and
-    SAMPLE_WINDOWS windows spread evenly over each; languages of fewer documents are repeated up to the largest.
+    The sample: of every language the ``docs_a_language`` documents of smallest hashed id, and SAMPLE_WINDOWS windows
+    spread evenly over each; languages of fewer documents are repeated up to the largest. Over LANGUAGES languages
+    share the rows of LANGUAGES among them, one document each at least.
     """
     ids = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ranked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= docs_a_language)
-    chosen = ranked.orderBy("lang", "r").limit(LANGUAGES * docs_a_language).select("doc_id", "lang")
-    keys = [(r["doc_id"], r["lang"]) for r in chosen.collect()]  # bounded by LANGUAGES * docs_a_language
+    languages = ids.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    each = docs_a_language if languages <= LANGUAGES else max(1, LANGUAGES * docs_a_language // languages)
+    chosen = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= each).select("doc_id", "lang")
+    keys = [(r["doc_id"], r["lang"]) for r in chosen.collect()]  # LANGUAGES * docs_a_language, or one for each language
     picked = docs.sparkSession.createDataFrame(keys, "doc_id long, lang string").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
