@@ -34,6 +34,15 @@ def test_short_article_and_truncated_page():
     assert html_text.main_text("<article><p>Some text</p><p class=") == "Some text"
 
 
+def test_marked_elements_that_hold_the_text():
+    body = [f"Paragraph number {k} holds a good many words of running text in it." for k in range(8)]
+    of = lambda at: "".join(f"<p>{body[k]}</p>" for k in at)
+    teaser = f"<article><p>{body[0]}</p></article><div class=content><h1>Hi</h1>{of(range(1, 8))}</div>"
+    assert html_text.main_text(teaser) == "Hi " + " ".join(body[1:])
+    several = f"<main><article>{of(range(3))}</article><p>More</p><article>{of(range(3, 6))}</article><article>{of(range(6, 8))}</article></main>"
+    assert html_text.main_text(several) == " ".join(body)
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 0), (None, "v", "", 0), (1, "u", PAGE, 0)], "page_id long, url string, html string, text int")
     got = html_text.extract(pages).collect()

@@ -3,7 +3,9 @@
 Markup is stripped to lines (one a block element), text lengths are summed over sliding windows of lines, the sums
 surge where a body of text begins and dive where it ends, and the text between them is kept. Lines of elements that
 are never main text (menus, forms, adverts, comments and so on) count as empty, so the sums dive there. Where the page
-marks its article, the marked element that holds most of the text between surges and dives bounds the result.
+marks its body, the marked elements replace surge and dive as the bound and stay whole, since surges miss short first
+lines. Of articles, main elements and elements named so, the best-ranked kind counts whose elements hold at least half
+of the text between surges and dives that any kind holds, all elements of that kind together.
 """
 
 from __future__ import annotations
@@ -144,18 +146,13 @@ def main_text(page: str | None) -> str:
     kept = set()
     for a, b in surges(lengths):
         kept.update(range(a, b))
-    # the marked element with most kept text, the innermost and best-ranked first
-    weight: dict[int, int] = {}
-    for k in range(len(lines)):
-        for m in around[k]:
-            weight[m] = weight.get(m, 0) + (lengths[k] if k in kept else 0)
-    if not any(weight.values()):  # a body too short for a surge
-        for k in range(len(lines)):
-            for m in around[k]:
-                weight[m] += lengths[k]
+    marked = {r: [k for k in range(len(lines)) if any(ranks[m] == r for m in around[k])] for r in sorted(set(ranks.values()), reverse=True)}
+    weight = {r: sum(lengths[k] for k in at if k in kept) for r, at in marked.items()}
+    if not any(weight.values()):  # bodies too short for a surge
+        weight = {r: sum(lengths[k] for k in at) for r, at in marked.items()}
     if any(weight.values()):
-        best = max((m for m, w in weight.items() if w), key=lambda m: (ranks[m], weight[m], m))
-        return " ".join(x for x, m in zip(lines, around) if x and best in m)
+        best = next(r for r, w in weight.items() if 2 * w >= max(weight.values()))
+        return " ".join(lines[k] for k in marked[best] if lines[k])
     return " ".join(lines[k] for k in sorted(kept) if lines[k])
 
 
