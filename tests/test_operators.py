@@ -208,3 +208,15 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert [(r.n, r.total) for r in spark.table("tumbled").collect()] == [(2, 3.0)]
     assert events.sessions(rows).count() == 2 and events.tumbling(rows).count() == 2
+
+
+def test_lsh_of_all_queries_against_brute_force(spark):
+    from textloom.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    best, got = ({(r.query_id, r.id) for r in QUERIES[name](spark, sf).collect()} for name in ("knn_l2", "lsh_neighbours"))
+    assert len(got) == len(best) and {q for q, _ in got} == {q for q, _ in best} and len({q for q, _ in best}) > 1
+    assert len(best & got) >= 0.9 * len(best)
+    few = spark.createDataFrame([(k, [100.0 * k, 0.0]) for k in range(12)], "id long, embedding array<double>")  # alone in their buckets
+    found = search.lsh_knn_join(few, few.select(F.col("id").alias("query_id"), "embedding"), 5, id_col="id").collect()
+    assert len(found) == 60 and {r.rank for r in found} == set(range(5))

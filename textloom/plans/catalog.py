@@ -535,8 +535,7 @@ def similar_words(spark, d):
 
 @query(None)
 def lsh_neighbours(spark, d):
-    first = t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
-    return search.lsh_knn(t(spark, d, "embeddings"), first, 10, id_col="vec_id")
+    return search.lsh_knn_join(t(spark, d, "embeddings"), _asked(spark, d), 10, id_col="vec_id")
 
 
 @query(f"""WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r, CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS total FROM c),
