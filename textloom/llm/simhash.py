@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, small_batches, table, written
+from .common import bounded, discard, small_batches, table, written
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -218,21 +218,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             rest = np.concatenate([np.arange(m, m - k, -1) for m, k in zip(n, take)])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), take))), pa.array(token), pa.array(rest.astype(np.int32)), pa.array(np.repeat(n, take).astype(np.int32))], schema=prefix_schema)
 
-    # rest: the shingles from this one on; first: whether a partner of the same size or larger can have it as first common one
+    # rest: the shingles from this one on; first: whether it can be the first that a partner of the same size or larger has in common
     share = similarity / (1 + similarity)
     heads = written(owners.select("key", "text").mapInArrow(prefixes, "key long, token long, rest int, n int"), "near-heads")
-    heads = heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6)
-    ends = heads.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("first").alias("first"))
-    met = written(heads.join(bounded(written(ends.where("a < b AND first").select("token"), "near-tokens")), "token").distinct(), "near-met")
+    shared = written(heads.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("token"), "near-tokens")
+    met = written(heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6).join(bounded(shared), "token").distinct(), "near-met")
+    discard(heads, shared)
+
+    def sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        left, right = (of.select(F.col("key").alias(k), *[F.col(c).alias(c + k) for c in of.columns if c != "key"]) for k in "uv")
+        return pairs.join(left, "u").join(right, "v")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) whose sets are similar enough."""
         pairs = written(pairs, "near-pairs")
-        wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-        sets = written(owners.join(bounded(wanted), "key").select("key", "text").mapInArrow(shingles, "key long, s array<bigint>").groupBy("key").agg(F.first("s").alias("s")), "near-sets")
-        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-        common = F.size(F.array_intersect("a", "b"))
-        return written(both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
+        keys = lambda df: bounded(df.select(F.col("u").alias("key")).union(df.select(F.col("v").alias("key"))).distinct())
+        # of at least c common shingles the first l stand before the last c - l of each set, so heads of this length share l
+        tops = written(met.join(keys(pairs), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("t")), "near-tops")
+        least = F.ceil(F.lit(share) * (F.col("nu") + F.col("nv")) - 1e-6)
+        length = lambda k: least + 1 - F.ceil(F.lit(similarity) * F.col(f"n{k}") - 1e-6)
+        hopeful = written(sides(pairs, tops).where(F.size(F.array_intersect("tu", "tv")) >= F.least(length("u"), length("v"))).select("u", "v"), "near-hopeful")
+        discard(pairs, tops)
+        chosen = owners.join(keys(hopeful), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+        sets = written(chosen.mapInArrow(shingles, "key long, s array<bigint>"), "near-sets")
+        common = F.size(F.array_intersect("su", "sv"))
+        links = written(sides(hopeful, sets).where(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v"), "near-links")
+        discard(hopeful, sets)
+        return links
 
     set_schema = pa.schema([("key", pa.int64()), ("s", pa.list_(pa.int64()))])
 
