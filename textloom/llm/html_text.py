@@ -1,131 +1,195 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one a block element), text lengths are summed over sliding windows of lines, the sums
-surge where a body of text begins and dive where it ends, and the text between them is kept. Lines of elements that
-are never main text (menus, forms, adverts, comments and so on) count as empty, so the sums dive there. Where the page
-marks its body, the marked elements replace surge and dive as the bound and stay whole, since surges miss short first
-lines. Of articles, main elements and elements named so, the best-ranked kind counts whose elements hold at least half
-of the text between surges and dives that any kind holds, all elements of that kind together.
+Markup is stripped to lines (one a block element), the weights of lines are summed over sliding windows of lines, the sums
+surge where a body of text begins and dive where it ends, and the text between surge and dive is kept. A line weighs its
+characters outside of links, so a list of links makes the sums dive. Marks and names change weights, and nothing else:
+
+- lines of menus, adverts, comments and so on weigh nothing, neither do they stand between surge and dive;
+- where no text surges, those that only a class name, an id or a form speaks against weigh a quarter;
+- lines of an article, main element or element named so each weigh ``SURGE`` more, so short bodies surge too.
+
+The distribution is taken over all lines, and over those of each kind of marked elements. Of the kinds, the best-ranked
+counts whose kept text is at least half of what any kind keeps, if it isn't less than a quarter of what the page keeps.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches, table
 
-#: Lines in a window; a surge is a window of at least SURGE characters after a window below it, a dive an empty window.
+#: Lines in a window; a surge is a window of at least SURGE characters, a dive one without any.
 LINES, SURGE = 3, 60
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "xmp", "svg", "math", "object", "canvas"}
-_NEVER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "label", "fieldset", "datalist", "audio", "video"}
+#: Elements that are never main text.
+_NEVER = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "datalist", "head", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rb", "rt", "rp"}
-#: Words of class, id and role names that mark what isn't main text.
-_NEVER_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|navigational|menu|menubar|breadcrumbs?|masthead|topbar|toolbar|banner|footer|contentinfo|sidebar|side|complementary|aside|rail|widget|"
-    r"ads?|adverts?|advert(?:isement|ising)s?|adsense|promo|promos|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|"
-    r"comments?|commentlist|respond|replies|reply|disqus|discussion|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|form|"
-    r"related|recommended|recommendations|pagination|pager|skip|tags|taglist|copyright)(?=$|[\s_-])",
-    re.I,
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "ruby", "rb", "rt", "rp"}
+#: Words that speak against an element as its name, or as the first or last part of one; a first part of the state words says nothing of the element itself.
+_AGAINST = set(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar toolbar banner header footer contentinfo sidebar complementary aside rail widget "
+    "ad ads advert adverts advertisement advertising adsense promo promos promotion sponsor sponsored cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay "
+    "share sharing social newsletter subscribe subscription signup login search related recommended recommendations pagination pager skip tags taglist copyright".split()
 )
-_BODY_NAMED = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?=$|[\s_-])", re.I)
-_MARKED = {"article": 3, "main": 2}
-
-
-def _names(attributes: str) -> str:
-    return " ".join(a or b or c for _, a, b, c in _NAMED.findall(attributes)) if "=" in attributes else ""
+_COMMENTS = set("comment comments commentlist respond replies reply disqus discussion".split())
+_STATES = set("has have with without no not is show hide enable".split())
+_BODY = set("article main content post entry story articlebody".split())
+_RANKS = {"article": 3, "main": 2}
+#: Elements that show that the named element or form around them is more than what its name says.
+_WRAPPED = {"article", "main", "h1"}
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int  # characters outside of links
+    marks: int  # bits: ranks of the marked elements around
+    never: bool  # in an element that is never main text
+    named: int  # number of the innermost element that a name speaks against, or 0
+
+
+def names_of(attributes: str) -> tuple[set[str], bool]:
+    """The names (class, id, role, itemprop) of an element, in lower case, and whether it is hidden."""
+    names, hidden = set(), False
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values).lower()
+        if key in ("class", "id", "role", "itemprop"):
+            names.update(value.split())
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
+    return names, hidden
+
+
+def speaks(names: set[str]) -> tuple[bool, bool, bool]:
+    """Whether names say that an element holds comments, isn't main text, is the body."""
+    comments = against = body = False
+    for name in names:
+        parts = re.split("[-_]+", name)
+        if parts[0] in _STATES:
+            continue
+        ends = {parts[0], parts[-1]}
+        comments |= not ends.isdisjoint(_COMMENTS)
+        against |= not ends.isdisjoint(_AGAINST)
+        body |= parts[-1] in _BODY or parts[-1] == "body" and parts[0] in _BODY
+    return comments, against and not body, body
 
 
-def lines_of(page: str) -> tuple[list[str], list[tuple[int, ...]], dict[int, int]]:
-    """Lines of text (empty: never main text), the marked elements around each, and the rank of each marked element."""
-    lines, around, ranks = [], [], {}
+def lines_of(page: str) -> tuple[list[Line], list[bool]]:
+    """The lines of text, and for each number of a named element whether its name counts. Linear in the page, whatever its depth."""
+    lines: list[Line] = []
     runs: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, never main text, number of the marked element or 0
-    skipping, marked, marks = 0, (), 0
-
-    def end_line(skipped: bool) -> None:
+    in_link, links, total = False, 0, 0
+    stack: list[tuple[str, int, bool, int]] = []  # element, marks, never main text, innermost named element
+    open_ = Counter()
+    parents, counts, undecided = [0], [False], []
+    marks, never, named = 0, False, 0
+
+    def add(raw: str) -> None:
+        nonlocal links, total
+        text = html.unescape(raw)
+        runs.append(text)
+        n = sum(map(len, text.split()))
+        total += n
+        links += n * in_link
+
+    def end_line() -> None:
+        nonlocal links, total
         text = " ".join("".join(runs).split())
         runs.clear()
         if text:
-            lines.append("" if skipped else text)
-            around.append(marked)
+            lines.append(Line(text, len(text) * (total - links) // total if links else len(text), marks, never, named))
+        links = total = 0
+
+    def pop() -> str:
+        nonlocal marks, never, named
+        name, _, _, own = stack.pop()
+        open_[name] -= 1
+        _, marks, never, named = stack[-1] if stack else ("", 0, False, 0)
+        if own != named and undecided and undecided[-1] == own:
+            undecided.pop()
+        return name
 
     at, n = 0, len(page)
     while at < n:
         found = _TAG.search(page, at)
         if found is None:
-            runs.append(html.unescape(page[at:]))
+            add(page[at:])
             break
         if found.start() > at:
-            runs.append(html.unescape(page[at : found.start()]))
+            add(page[at : found.start()])
         at = found.end()
         closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         if not name:
             continue
         name = name.lower()
-        if name in _INLINE and not (attributes and _NEVER_NAMED.search(_names(attributes))):
-            if not closing or not any(e[0] == name for e in stack):
-                continue
+        if name == "a":
+            in_link = not closing and "href" in attributes.lower()
+        if name == "br":
+            runs.append(" ")
+        elif name == "hr":
+            end_line()
         if name in _VOID:
-            if name in ("br", "hr"):
-                runs.append(" ") if name == "br" else end_line(skipping > 0)
             continue
         if name in _RAW:
             if not closing and not attributes.endswith("/"):
                 close = re.compile(rf"</{name}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else n
             continue
-        end_line(skipping > 0)
+        names, hidden = names_of(attributes) if attributes and not closing else (set(), False)
+        comments, against, body = speaks(names) if names else (False, False, False)
+        if name in _INLINE and not (open_[name] if closing else comments or against or hidden):
+            continue
+        end_line()
         if closing:
-            if any(e[0] == name for e in stack):
-                while stack:
-                    e = stack.pop()
-                    skipping -= e[1]
-                    if e[2]:
-                        marked = marked[:-1]
-                    if e[0] == name:
-                        break
+            if open_[name]:
+                while pop() != name:
+                    pass
             continue
         if attributes.endswith("/"):
             continue
-        if name == "p" or name == "li":  # neither needs a closing tag
-            if stack and stack[-1][0] == name:
-                e = stack.pop()
-                skipping -= e[1]
-        named = _names(attributes)
-        in_article = any(ranks[m] >= 2 for m in marked)
-        body = name in _MARKED or _BODY_NAMED.search(named) is not None
-        never = name in _NEVER or (name == "header" and not in_article) or (attributes != "" and (_HIDDEN.search(attributes) is not None)) or (named != "" and name not in ("html", "body") and _NEVER_NAMED.search(named) is not None and name != "main")
-        mark = 0
-        if not never and not skipping and name not in ("html", "body", "p", "li") and (name in _MARKED or body or "main" in named.lower().split()):
-            marks += 1
-            mark = marks
-            ranks[mark] = _MARKED.get(name, 1)
-            marked = (*marked, mark)
-        stack.append((name, never, mark))
-        skipping += never
-    end_line(skipping > 0)
-    return lines, around, ranks
-
-
-def surges(lengths: list[int], window: int = LINES, least: int = SURGE) -> list[tuple[int, int]]:
-    """Half-open line ranges between a surge and the next dive of the window sums."""
-    n = len(lengths)
-    sums = [sum(lengths[k : k + window]) for k in range(n)]
+        if name in ("p", "li") and stack and stack[-1][0] == name:  # neither needs a closing tag
+            pop()
+        if name in ("html", "body"):
+            comments = against = body = False
+        if name in _WRAPPED and not comments:
+            while undecided:
+                counts[undecided.pop()] = False
+        rank = _RANKS.get(name, 1 if body and name not in ("p", "li") else 0)
+        if comments or hidden or name in _NEVER or name == "header" and not marks >> 2:
+            never = True
+        elif name == "form" or against and name not in _RANKS:
+            parents.append(named)
+            counts.append(True)
+            named = len(counts) - 1
+            undecided.append(named)
+        elif rank and not never:
+            marks |= 1 << rank
+        stack.append((name, marks, never, named))
+        open_[name] += 1
+    end_line()
+    for k in range(1, len(counts)):
+        counts[k] |= counts[parents[k]]
+    return lines, counts
+
+
+def surges(weights: list[int], window: int = LINES, least: int = SURGE) -> list[tuple[int, int]]:
+    """Half-open line ranges between a surge and the next dive of the window sums, from the first line of any weight on."""
+    n = len(weights)
+    sums = [sum(weights[k : k + window]) for k in range(n)]
     out, k = [], 0
     while k < n:
         if sums[k] >= least:
             start = k
-            while start < n and not lengths[start]:
+            while not weights[start]:
                 start += 1
             end = start
             while end < n and sums[end] > 0:
@@ -137,23 +201,24 @@ def surges(lengths: list[int], window: int = LINES, least: int = SURGE) -> list[
     return out
 
 
+def kept_lines(weights: list[int | None]) -> list[int]:
+    """The lines between surges and dives; None: a line that never stands there."""
+    return [k for a, b in surges([w or 0 for w in weights]) for k in range(a, b) if weights[k] is not None]
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by one space; empty for a null or empty page."""
-    if not page:
-        return ""
-    lines, around, ranks = lines_of(page)
-    lengths = [len(x) for x in lines]
-    kept = set()
-    for a, b in surges(lengths):
-        kept.update(range(a, b))
-    marked = {r: [k for k in range(len(lines)) if any(ranks[m] == r for m in around[k])] for r in sorted(set(ranks.values()), reverse=True)}
-    weight = {r: sum(lengths[k] for k in at if k in kept) for r, at in marked.items()}
-    if not any(weight.values()):  # bodies too short for a surge
-        weight = {r: sum(lengths[k] for k in at) for r, at in marked.items()}
-    if any(weight.values()):
-        best = next(r for r, w in weight.items() if 2 * w >= max(weight.values()))
-        return " ".join(lines[k] for k in marked[best] if lines[k])
-    return " ".join(lines[k] for k in sorted(kept) if lines[k])
+    lines, counts = lines_of(page or "")
+    out = [x.never or counts[x.named] for x in lines]
+    best = kept_lines([None if o else x.weight for o, x in zip(out, lines)])
+    size = lambda kept: sum(len(lines[k].text) for k in kept)
+    kinds = [kept_lines([None if o or not x.marks >> r & 1 else x.weight and x.weight + SURGE for o, x in zip(out, lines)]) for r in (3, 2, 1)]
+    most = max(map(size, kinds))
+    if most and 4 * most >= size(best):
+        best = next(kept for kept in kinds if 2 * size(kept) >= most)
+    if not best:
+        best = kept_lines([None if x.never else x.weight // 4 if o else x.weight for o, x in zip(out, lines)])
+    return " ".join(lines[k].text for k in best)
 
 
 PAGE = "page_id long, url string, text string, n_chars long"
