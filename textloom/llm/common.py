@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -13,16 +15,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in one Arrow batch: with texts of a few kB a batch is some MB, with the longest ones some tens of MB.
 BATCH_ROWS = 512
 
-#: Rows up to which a narrow table is broadcast after its rows were counted; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows, and compressed bytes, up to which a written table is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset and the master is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -53,8 +57,21 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marked for broadcast if its rows and bytes, as written to the shared folder, allow it."""
+    held = df if hasattr(df, "scratch_path") else written(df, "bounded")
+    small = _bytes(held.sparkSession, held.scratch_path) <= BROADCAST_BYTES and held.count() <= BROADCAST_ROWS
+    return F.broadcast(held) if small else held
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -89,3 +106,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def columns(df: DataFrame) -> list:
+    """All columns of a table, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
