@@ -1,13 +1,20 @@
 """Repeated byte strings across a corpus, by distributed prefix doubling.
 
-A string of ``length`` bytes repeats if it starts at two positions. Positions get ranks (64-bit content hashes) for
-prefixes that grow towards ``length``: first half of it, then by half of what is missing, and last, as a pair of ranks
-one offset apart, the whole. The last round first looks at whole stretches of starts that share a sample: if the bytes
-under a stretch stand elsewhere too, all its starts repeat. Only where a stretch is unlike all others of its sample
-(where a repeat begins or ends) its single starts, and one copy of each other such stretch, get rank pairs. After each round Spark groups equal ranks and positions of a unique rank leave. Before
-the last round a document shows only sampled positions: of every run of ``length`` bytes the place with the smallest
-hashed prefix of the round's length inside it (leftmost among equals). Equal runs sample equal prefixes, so a run
-whose sample is unique in the corpus is unique, and no repeat is lost.
+A string of ``length`` bytes repeats if it starts at two places. Places first get the rank of their next quarter of
+``length`` bytes, a 64-bit content hash: the only hash there is. From then on ranks are doubled: the rank at a place and
+the rank one offset on form a pair, Spark sorts all pairs, places of a unique pair leave, and equal pairs get one new
+rank, at offsets of a quarter and then of a half. Two strings so count as equal if four 64-bit ranks are, 256 bits.
+
+Doubling all places of a corpus would sort every byte of it several times, so only those are doubled that can matter:
+
+1. Of every run of ``length`` bytes the place with the smallest quarter rank inside it is its sample (leftmost among
+   equals). Equal runs have equal samples at equal distances, so a run whose sample is unique is unique.
+2. The three whole quarters around a sample that every run of one class (the distance to the sample, in quarters)
+   holds are doubled. Runs leave if these bytes are unique.
+3. Neighbouring runs that share a sample form a stretch. If the bytes under a stretch stand elsewhere too, all its runs
+   repeat. Stretches unlike all others, and one copy of each that they could share runs with, are cut into pieces of
+   ``length / 16`` starts, which are compared likewise: by the bytes that all runs of the piece hold, then whole.
+4. What is left, where a repeat begins or ends, is doubled start by start.
 """
 
 from __future__ import annotations
@@ -18,22 +25,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, discard, small_batches, table, written
+from .common import bounded, discard, parallelism, release, small_batches, table, written
 
 LENGTH = 400
+#: Repeated passages besides: so many bytes, and so many words where these take fewer bytes.
+PASSAGE, PASSAGE_WORDS = 240, 51
 #: Rows of a batch that a task hands on.
 FLUSH = 100_000
 _MASK = (1 << 64) - 1
 
+PAIR = "near long, far long, key long, at int, part int"
+_PAIR = pa.schema([("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("part", pa.int32())])
+STRETCH = "core array<bigint>, whole array<bigint>, n int, key long, lo int"
+_STRETCH = pa.schema([("core", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64())), ("n", pa.int32()), ("key", pa.int64()), ("lo", pa.int32())])
+
 
 class Ranks:
     """Content hashes of all substrings of one length of a text: a polynomial over random odd byte values, mod 2^64, scrambled."""
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, size: int = 1 << 16, seed: int = 11):
+    def __init__(self, length: int, size: int = 1 << 16, seed: int = 11):
+        self.length = length
         self.values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._grow(size)
 
@@ -45,24 +61,13 @@ class Ranks:
 
         self.size, self.powers, self.inverse = size, powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
+    def of(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode(), np.uint8)
         if len(data) > self.size:
             self._grow(2 * len(data))
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], dtype=np.uint64, out=out[1:])
-        return out
-
-    def ranks(self, sums: np.ndarray, length: int) -> np.ndarray:
-        n = len(sums) - length
-        x = (sums[length:] - sums[:-length]) * self.inverse[:n]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        return x
-
-    def under(self, sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Content hashes of substrings of any lengths."""
-        x = (sums[starts + lengths] - sums[starts]) * self.inverse[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], dtype=np.uint64, out=sums[1:])
+        x = (sums[self.length :] - sums[: -self.length]) * self.inverse[: max(0, len(sums) - self.length)]
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
@@ -87,48 +92,40 @@ def steps(ascending: np.ndarray) -> np.ndarray:
     return ascending[np.concatenate([[True], ascending[1:] != ascending[:-1]])]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def cover(ranks: np.ndarray, lo: np.ndarray, size: np.ndarray, base: int) -> pa.ListArray:
+    """For each lo the quarter ranks that cover the next ``size`` bytes, the last one flush with their end."""
+    n = -(-size // base)
+    ends = np.cumsum(n)
+    step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    at = np.repeat(lo, n) + np.minimum(step * base, np.repeat(size, n) - base)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), _signed(ranks[at]))
 
 
-def rounds(length: int) -> list[int]:
-    """Prefix lengths of the sampled rounds."""
-    return sorted({length // 2, length - length // 4, length - length // 8})
+def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each lo on."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _survivors(sums: np.ndarray, hashes: Ranks, length: int, prefix: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the runs whose sampled prefix is among the repeated ranks, their samples' places, and all ranks."""
-    r = hashes.ranks(sums, prefix)
-    of_run = sampled(r, length - prefix + 1)
-    here, again = steps(of_run), np.zeros(len(r), bool)
-    again[here] = np.isin(r[here], repeated)
-    at = np.flatnonzero(again[of_run])
-    return at, of_run[at], r
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def sample_rows(docs: DataFrame, length: int, prefix: int, before: int | None = None) -> DataFrame:
-    """(rank, key, own) for the sampled prefixes of each text: its distinct ranks, and whether one stands at two places of it.
+def _numbers(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy().astype(np.int64)
 
-    docs: (key, text), or (key, text, ranks) with the repeated ranks of the round ``before``, whose runs alone are looked at.
-    """
+
+def sample_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(rank, key, own) for the samples of each text (key, text): its distinct ranks, and whether one stands at two places of it."""
+    base = length // 4
     schema = pa.schema([("rank", pa.int64()), ("key", pa.int64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Ranks()
+        hashes = Ranks(base)
         for batch in batches:
             ranks, keys, own = [], [], []
-            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                data = np.frombuffer(text.encode(), np.uint8)
-                if len(data) < length:
-                    continue
-                sums = hashes.sums(data)
-                r = hashes.ranks(sums, prefix)
-                of_run = sampled(r, length - prefix + 1)
-                if before is not None:
-                    of_run = of_run[_survivors(sums, hashes, length, before, batch.column(2)[k].values.to_numpy().view(np.uint64))[0]]
-                if not len(of_run):
-                    continue
-                u, n = np.unique(r[steps(of_run)], return_counts=True)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                r = hashes.of(text)
+                u, n = np.unique(r[steps(sampled(r, length - base + 1))], return_counts=True)
                 ranks.append(u)
                 own.append(n > 1)
                 keys.append(np.full(len(u), key, np.int64))
@@ -138,59 +135,157 @@ def sample_rows(docs: DataFrame, length: int, prefix: int, before: int | None =
     return docs.mapInArrow(run, "rank long, key long, own boolean")
 
 
-def stretch_rows(docs: DataFrame, length: int, before: int) -> DataFrame:
-    """(rank, under, n, key, lo): stretches of n surviving starts from lo on that share a sample of that rank, and the rank of
-    the bytes under them; docs: (key, text, ranks)."""
-    schema = pa.schema([("rank", pa.int64()), ("under", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("lo", pa.int32())])
+def _heads(ranks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run its sample, and the first of the three whole quarters that all runs of its class hold."""
+    base = length // 4
+    sample = sampled(ranks, length - base + 1)
+    return sample, sample - (sample - np.arange(len(sample))) // base * base
+
+
+def _pairs(ranks: np.ndarray, at: np.ndarray, second: int, base: int, key: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of quarter ranks one offset apart, at each place (part 0) and ``second`` bytes on (part 1)."""
+    for a in range(0, len(at), FLUSH):
+        x = at[a : a + FLUSH]
+        both = np.concatenate([x, x + second])
+        yield pa.RecordBatch.from_arrays([_signed(ranks[both]), _signed(ranks[both + base]), pa.array(np.full(len(both), key, np.int64)), pa.array(np.tile(x, 2).astype(np.int32)), pa.array(np.repeat(np.array([0, 1], np.int32), len(x)))], schema=_PAIR)
+
+
+def class_pairs(docs: DataFrame, length: int) -> DataFrame:
+    """Pairs for the three quarters of every class of runs whose sample repeats; docs: (key, text, ranks), the repeated samples' ranks."""
+    base = length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Ranks()
+        hashes = Ranks(base)
         for batch in batches:
-            held = []
             for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                sums = hashes.sums(np.frombuffer(text.encode(), np.uint8))
-                at, sample, r = _survivors(sums, hashes, length, before, batch.column(2)[k].values.to_numpy().view(np.uint64))
-                if not len(at):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (sample[1:] != sample[:-1])]))
-                n = np.diff(np.append(first, len(at)))
-                lo = at[first]
-                held.append((r[sample[first]], hashes.under(sums, lo, n - 1 + length), n.astype(np.int32), np.full(len(lo), key, np.int64), lo.astype(np.int32)))
-            if held:
-                rank, under, n, keys, lo = (np.concatenate(c) for c in zip(*held))
-                yield pa.RecordBatch.from_arrays([_signed(rank), _signed(under), pa.array(n), pa.array(keys), pa.array(lo)], schema=schema)
+                r = hashes.of(text)
+                sample, head = _heads(r, length)
+                here, again = steps(sample), np.zeros(len(r), bool)
+                again[here] = np.isin(r[here], batch.column(2)[k].values.to_numpy().view(np.uint64))
+                yield from _pairs(r, np.unique(head[again[sample]]), base, base, key)
+
+    return docs.mapInArrow(run, PAIR)
+
 
-    return docs.mapInArrow(run, "rank long, under long, n int, key long, lo int")
+def start_pairs(docs: DataFrame, length: int) -> DataFrame:
+    """Pairs for the four quarters from single starts; docs: (key, text, los, ns), the last two of ranges of starts."""
+    base = length // 4
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Ranks(base)
+        for batch in batches:
+            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                yield from _pairs(hashes.of(text), spread(_numbers(batch.column(2), k), _numbers(batch.column(3), k)), 2 * base, base, key)
+
+    return docs.mapInArrow(run, PAIR)
+
+
+def stretches(docs: DataFrame, length: int, grain: int = 0) -> DataFrame:
+    """(core, whole, n, key, lo): n neighbouring starts from lo on that share a sample; the ranks that cover what their runs
+    have in common with those that could equal them, and those that cover all bytes under them.
 
-def doubled_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(near, far, key, at): rank pairs that cover ``length`` bytes from each start; docs: (key, text, los, ns), the last two of stretches."""
-    half = length - length // 2
-    schema = pa.schema([("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
+    docs: (key, text, heads) with the heads of open classes: whole stretches, whose core is the sample's rank; or
+    (key, text, los, ns): their starts cut where the distance to the sample reaches a multiple of ``grain``, whose core
+    are the bytes that each run of such a piece holds.
+    """
+    base = length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Ranks()
+        hashes = Ranks(base)
         for batch in batches:
             for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                lo, n = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in (2, 3))
-                r = hashes.ranks(hashes.sums(np.frombuffer(text.encode(), np.uint8)), half)
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                for a in range(0, len(at), FLUSH):
-                    x = at[a : a + FLUSH]
-                    yield pa.RecordBatch.from_arrays([_signed(r[x]), _signed(r[x + length - half]), pa.array(np.full(len(x), key, np.int64)), pa.array(x.astype(np.int32))], schema=schema)
-
-    return docs.mapInArrow(run, "near long, far long, key long, at int")
-
-
-def repeated_of(samples: DataFrame) -> DataFrame:
-    """(key, ranks): the ranks of each text that also stand in another text or twice in one."""
-    samples = written(samples, "repeats-samples")
-    shared = samples.groupBy("rank").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("own").alias("own")).where("a < b OR own").select("rank")
-    ranks = written(samples.join(shared, "rank").groupBy("key").agg(F.collect_set("rank").alias("ranks")), "repeats-ranks")
-    discard(samples)
+                r = hashes.of(text)
+                sample, head = _heads(r, length)
+                at = spread(_numbers(batch.column(2), k), _numbers(batch.column(3), k)) if grain else np.flatnonzero(np.isin(head, _numbers(batch.column(2), k)))
+                if not len(at):
+                    continue
+                at = np.sort(at)
+                sample = sample[at]
+                piece = (sample - at) // grain if grain else sample
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (sample[1:] != sample[:-1]) | (piece[1:] != piece[:-1])]))
+                n, lo = np.diff(np.append(first, len(at))), at[first]
+                core = cover(r, sample[first] - piece[first] * grain, np.full(len(lo), length - grain + 1), base) if grain else cover(r, sample[first], np.full(len(lo), base), base)
+                whole = cover(r, lo, n - 1 + length, base)
+                yield pa.RecordBatch.from_arrays([core, whole, pa.array(n.astype(np.int32)), pa.array(np.full(len(lo), key, np.int64)), pa.array(lo.astype(np.int32))], schema=_STRETCH)
+
+    return docs.mapInArrow(run, STRETCH)
+
+
+def reranked(pairs: DataFrame) -> DataFrame:
+    """(rank, key, at, part) of the rows of pairs (near, far, key, at, part) whose pair stands in another row too; equal pairs get one rank.
+
+    All rows are sorted by their pair, dealt to tasks by range, so a pair that very many rows have is spread over several.
+    Each task numbers the pairs it holds. Only its first and its last pair can go on in another task: these (two a task
+    at most) are brought together after, and share the least of their numbers.
+    """
+    ordered = pairs.repartitionByRange(parallelism(pairs.sparkSession), "near", "far", "key", "at", "part").sortWithinPartitions("near", "far")
+    schema = pa.schema([("rank", pa.int64()), ("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("part", pa.int32())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, held = (TaskContext.get().partitionId() << 40) - 1, None  # held: the last pair's rows so far (its last, once there are two), not handed on yet
+
+        def rows(ranks, near, far, key, at, part, edge) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(near, mask=~edge), pa.array(far, mask=~edge), pa.array(key), pa.array(at), pa.array(part)], schema=schema)
+
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held[:5], cols)]
+            near, far = cols[0], cols[1]
+            new = np.concatenate([[held is None], (near[1:] != near[:-1]) | (far[1:] != far[:-1])])
+            ranks = rank + np.cumsum(new)
+            alike = np.zeros(len(near), bool)
+            alike[1:] |= ~new[1:]
+            alike[:-1] |= ~new[1:]
+            if held is not None:
+                alike[0] |= held[5]
+            of_first = (ranks == ranks[0]) & first
+            last = len(near) - 1
+            # all rows but the last go on; whether that one's pair is unique the next batch shows
+            go = np.flatnonzero((alike | of_first)[:last])
+            if len(go):
+                yield rows(ranks[go], *(c[go] for c in cols), of_first[go])
+            first = first and bool(of_first[last])
+            held = [*(c[last:] for c in cols), bool(alike[last])]
+            rank = int(ranks[last])
+        if held is not None:
+            # rows of the last pair that went on before the end was known carry no pair; their number leads to it
+            yield rows(np.array([rank]), *held[:5], np.array([True]))
+
+    out = written(ordered.mapInArrow(number, "rank long, near long, far long, key long, at int, part int"), "repeats-ranked")
+    edges = written(out.where("near IS NOT NULL").select("near", "far", "rank").distinct(), "repeats-edges")  # at most two rows a task
+    of_edge = F.broadcast(edges.select("rank", F.col("near").alias("n2"), F.col("far").alias("f2")))
+    sizes = out.join(of_edge, "rank").groupBy("n2", "f2").agg(F.count("*").alias("c"), F.min("rank").alias("to"))
+    shared = F.broadcast(edges.join(sizes.withColumnsRenamed({"n2": "near", "f2": "far"}), ["near", "far"]).select("rank", "to", "c"))
+    ranks = written(out.join(shared, "rank", "left").where("c IS NULL OR c > 1").select(F.coalesce("to", "rank").alias("rank"), "key", "at", "part"), "repeats-ranks")
+    discard(out, edges)
+    release(ranks.sparkSession)
     return ranks
 
 
+def repeated_places(quarters: DataFrame) -> DataFrame:
+    """(key, at) of the places whose two pairs of quarter ranks, doubled, stand at another place too."""
+    halves = reranked(quarters)
+    part = lambda k: F.max(F.when(F.col("part") == k, F.col("rank")))
+    pairs = halves.groupBy("key", "at").agg(part(0).alias("near"), part(1).alias("far")).where("near IS NOT NULL AND far IS NOT NULL")
+    places = reranked(pairs.select("near", "far", "key", "at", F.lit(0).alias("part")))
+    discard(halves)
+    return places
+
+
+def alike_and_open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stretches: (key, lo, n) of those whose bytes stand under another one, and of those, one of each kind, whose starts must be looked at singly."""
+    kinds = written(rows.groupBy("core", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("one")), "repeats-kinds")
+    mixed = written(kinds.groupBy("core").agg(F.min("c").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("core"), "repeats-mixed")
+    lone = written(kinds.join(mixed, "core").select("one.key", "one.lo", "n"), "repeats-lone")
+    alike = written(rows.join(kinds.where("c > 1").select("core", "whole", "n"), ["core", "whole", "n"]).select("key", "lo", "n"), "repeats-alike")
+    discard(kinds, mixed)
+    return alike, lone
+
+
 def covered_runs(lo: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs covered by ``length`` bytes from each of n starts from each lo."""
     order = np.argsort(lo, kind="stable")
@@ -218,38 +313,45 @@ def cut_runs(data: bytes, runs: list[tuple[int, int]], whole_characters: bool =
 def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
     """Distinct texts that lose bytes: (digest, n_removed, n_spans, kept, spans); digest is the text's SHA-256 in hex.
 
-    docs: (doc_id, text). A byte goes if a string of ``length`` bytes over it also starts anywhere else in the
-    documents, the same one included; all copies lose it. Matches never cross documents. Equal texts are compared once:
-    such a text of at least ``length`` bytes goes whole. ``kept`` holds the remaining bytes. Null texts are empty;
-    ids may be null or repeated (a row counts as a document of its own); an empty table gives an empty table.
+    docs: (doc_id, text); ``length`` is a multiple of 16. A byte goes if a string of ``length`` bytes over it also starts
+    anywhere else in the documents, the same one included; all copies lose it. Matches never cross documents. Equal texts
+    are compared once: such a text of at least ``length`` bytes goes whole. ``kept`` holds the remaining bytes. Null and
+    empty texts, and those shorter than ``length``, lose nothing; ids may be null or repeated (a row counts as a document
+    of its own); texts of any length are taken whole; an empty table gives an empty table; other columns are left out.
     """
-    small_batches(docs.sparkSession)
+    if length % 16:
+        raise ValueError(f"not a multiple of 16: {length}")
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     texts = texts.select("text", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("key"))
     copies = texts.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes")).where("n > 1")
     copies = written(copies, "repeats-copies")
 
-    first, *later = rounds(length)
-    mine = repeated_of(sample_rows(texts.select("key", "text"), length, first))
-    found = texts.join(bounded(mine.select("key")), "key", "left_semi").dropDuplicates(["digest"])
-    chosen = written(found, "repeats-chosen")
-    before = first
-    for prefix in later:
-        last, mine = mine, repeated_of(sample_rows(chosen.join(mine, "key").select("key", "text", "ranks"), length, prefix, before))
-        discard(last)
-        before = prefix
-    stretches = written(stretch_rows(chosen.join(mine, "key").select("key", "text", "ranks"), length, before), "repeats-stretches")
-    discard(mine)
-    kinds = stretches.groupBy("rank", "under", "n").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("one"))
-    kinds = written(kinds, "repeats-kinds")
-    edges = kinds.groupBy("rank").agg(F.min("c").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("rank")
-    lone = kinds.join(edges, "rank").select("one.key", "one.lo", "n").groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
-    places = written(doubled_rows(chosen.join(lone, "key").select("key", "text", F.col("s.lo").alias("los"), F.col("s.n").alias("ns")), length), "repeats-pairs")
-    again = places.groupBy("near", "far").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = places.join(again, ["near", "far"]).select("key", F.col("at").alias("lo"), F.lit(1).alias("n"))
-    alike = stretches.join(kinds.where("c > 1").select("rank", "under", "n"), ["rank", "under", "n"]).select("key", "lo", "n")
-    starts = alike.union(single).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
-    found = chosen.join(starts, "key").join(copies, "digest", "left_anti").select("digest", "text", F.col("s.lo").alias("los"), F.col("s.n").alias("ns"))
+    samples = written(sample_rows(texts.select("key", "text"), length), "repeats-samples")
+    shared = written(samples.groupBy("rank").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("own").alias("own")).where("a < b OR own").select("rank"), "repeats-shared")
+    mine = written(samples.join(shared, "rank").groupBy("key").agg(F.collect_set("rank").alias("ranks")), "repeats-ranks")
+    discard(samples, shared)
+    chosen = texts.join(bounded(mine.select("key")), "key", "left_semi").dropDuplicates(["digest"])
+    chosen = written(chosen.withColumnRenamed("key", "hash").withColumn("key", F.monotonically_increasing_id()), "repeats-chosen")
+    release(spark)
+
+    def lists(rows: DataFrame) -> DataFrame:
+        both = rows.groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s")).select("key", F.col("s.lo").alias("los"), F.col("s.n").alias("ns"))
+        return chosen.join(both, "key")
+
+    open_ = repeated_places(class_pairs(chosen.join(mine.withColumnRenamed("key", "hash"), "hash").select("key", "text", "ranks"), length))
+    heads = open_.groupBy("key").agg(F.collect_list("at").alias("heads"))
+    whole = written(stretches(chosen.join(heads, "key").select("key", "text", "heads"), length), "repeats-stretches")
+    discard(mine, open_)
+    alike, lone = alike_and_open(whole)
+    pieces = written(stretches(lists(lone).select("key", "text", "los", "ns"), length, length // 16), "repeats-pieces")
+    discard(whole)
+    release(spark)
+    alike_pieces, lone = alike_and_open(pieces)
+    discard(pieces)
+    single = repeated_places(start_pairs(lists(lone).select("key", "text", "los", "ns"), length)).select("key", F.col("at").alias("lo"), F.lit(1).alias("n"))
+    found = lists(alike.union(alike_pieces).union(single)).join(copies, "digest", "left_anti").select("digest", "text", "los", "ns")
     schema = pa.schema([("digest", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +359,12 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool
             out = []
             for k, (digest, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 data = text.encode()
-                kept, cut = cut_runs(data, covered_runs(*(batch.column(c)[k].values.to_numpy().astype(np.int64) for c in (2, 3)), length), whole_characters)
+                kept, cut = cut_runs(data, covered_runs(_numbers(batch.column(2), k), _numbers(batch.column(3), k), length), whole_characters)
                 out.append((digest, len(data) - len(kept), len(cut), kept, [[a, b] for a, b in cut]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    whole = copies.select("digest", F.col("bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.array(F.array(F.lit(0).cast("long"), "bytes")).alias("spans"))
-    return found.mapInArrow(run, "digest string, n_removed long, n_spans long, kept binary, spans array<array<bigint>>").union(whole)
+    copied = copies.select("digest", F.col("bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.array(F.array(F.lit(0).cast("long"), "bytes")).alias("spans"))
+    return found.mapInArrow(run, "digest string, n_removed long, n_spans long, kept binary, spans array<array<bigint>>").union(copied)
 
 
 def word_windows(data: bytes, words: int, below: int) -> list[tuple[int, int]]:
@@ -271,13 +373,16 @@ def word_windows(data: bytes, words: int, below: int) -> list[tuple[int, int]]:
     return [(a, b) for (a, _), (_, b) in zip(at, at[words - 1 :]) if b - a < below]
 
 
-def repeated_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS, runs: DataFrame | None = None) -> DataFrame:
     """(digest, kept) of the distinct texts that lose bytes to passages of ``length`` bytes or of ``words`` words.
 
-    The first are those of ``repeated_runs``, characters kept whole. A passage of ``words`` words with fewer bytes holds
-    no such run, so these windows (few in prose) are compared by content hash, over all documents (id, text) too.
+    The first are those of ``repeated_runs`` (``runs``, if they are at hand), characters kept whole. A passage of
+    ``words`` words with fewer bytes holds no such run, so these windows (few in prose) are compared by content hash,
+    over all documents (doc_id, text) too. Null, empty and short texts lose nothing; equal texts, ties and repeated rows
+    are copies and go whole if they are as long as a passage; an empty table gives an empty table.
     """
-    runs = written(repeated_runs(docs, length, whole_characters=True).select("digest", "kept", "spans"), "repeats-runs")
+    if runs is None:
+        runs = written(repeated_runs(docs, length, whole_characters=True).select("digest", "kept", "spans"), "repeats-runs")
     texts = docs.where(F.octet_length("text") >= 2 * words - 1).select("text", F.sha2("text", 256).alias("digest"))
     window_schema = pa.schema([("hash", pa.int64()), ("digest", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -312,11 +417,21 @@ def repeated_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The 400-byte rule; and, as ``text``, what is left of a text without its repeated passages of over 50 words.
+
+    A repeated string of LENGTH bytes lies inside a repeated run of passages, so only texts with such a run are searched for it.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = repeated_runs(docs).select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    runs = written(repeated_runs(docs, PASSAGE, whole_characters=True).select("digest", "kept", "spans"), "repeats-runs")
+    passages = written(repeated_passages(docs, runs=runs).select("digest", F.decode("kept", "UTF-8").alias("left")), "repeats-passages")
+    cut = 2 * 3  # bytes of a character that may have stayed at either end of a run
+    long_enough = runs.where(F.exists("spans", lambda s: s[1] - s[0] >= LENGTH - cut)).select("digest")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
-    return rows.join(lost, "digest", "left").select(
+    rows = docs.select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
+    found = repeated_runs(rows.join(bounded(long_enough), "digest", "left_semi").select("doc_id", "text"), LENGTH)
+    lost = found.select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    lost = written(passages.join(lost, "digest", "full"), "repeats-lost")
+    return rows.join(bounded(lost), "digest", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "digest").alias("kept_sha256"),
+        F.coalesce("kept_sha256", "digest").alias("kept_sha256"), F.coalesce("left", "text").alias("text"),
     )
