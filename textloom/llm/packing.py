@@ -1,4 +1,8 @@
-"""Packing documents into windows of tokens by the online sum-of-squares rule."""
+"""Packing documents into windows of tokens by the online sum-of-squares rule.
+
+Each task packs the rows it reads. The pieces of the windows that it couldn't fill go on to a second online pass, by the
+same rule, over the pieces of many tasks; only what is still open at its end is cut to fill whole windows.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +16,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 WINDOW, END = 2048, 1
-#: Open windows that a task holds at most; beyond it they are closed by cutting their pieces to fill whole windows.
+#: Open windows that a task holds at most, for its memory; beyond it all go on (to the second pass, or there to be cut).
 OPEN_WINDOWS = 4096
+#: Ids of left-over pieces that a task of the second pass gets.
+SECOND_IDS = 1 << 24
 #: Words whose ids a task remembers; the memory is emptied when full, which changes no result.
 REMEMBERED = 400_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_PIECE = pa.schema([(n, pa.int64()) for n in "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()])
+_NUMBERS = [(n, pa.int64()) for n in "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()]
+_PIECE = pa.schema([*_NUMBERS, ("ids", pa.binary())])
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -118,60 +125,73 @@ class SumOfSquares:
         self.at[level + n].append(window)
         counts[level + n] += 1
         self.open += 1
-        return self.close() if self.open > self.most_open else []
-
-    def close(self) -> list[list]:
-        """Close all open windows: their pieces are cut to fill whole windows, but for the last one."""
-        out, window, room = [], [], self.window
-        for level in range(self.window - 1, 0, -1):
-            for doc, start, ids, tokens in (p for w in self.at[level] for p in w):
-                while ids:
-                    head, ids = ids[: 4 * room], ids[4 * room :]
-                    window.append((doc, start, head, tokens))
-                    start += len(head) // 4
-                    room -= len(head) // 4
-                    if not room:
-                        out.append(window)
-                        window, room = [], self.window
-            self.at[level] = []
-        if window:
-            out.append(window)
+        return []
+
+    @property
+    def crowded(self) -> bool:
+        return self.open > self.most_open
+
+    def drain(self) -> list[tuple]:
+        """Take the pieces out of all open windows, the fullest first."""
+        pieces = [p for level in range(self.window - 1, 0, -1) for w in self.at[level] for p in w]
+        self.at = [[] for _ in range(self.window + 1)]
         self.counts[:] = 0
         self.open = 0
-        return out
+        return pieces
+
+
+def filled(pieces: list[tuple], window: int) -> list[list]:
+    """Windows filled with the pieces in turn, which are cut for it; all are full but the last."""
+    out, current, room = [], [], window
+    for doc, start, ids, tokens in pieces:
+        while ids:
+            head, ids = ids[: 4 * room], ids[4 * room :]
+            current.append((doc, start, head, tokens))
+            start += len(head) // 4
+            room -= len(head) // 4
+            if not room:
+                out.append(current)
+                current, room = [], window
+    return out + [current] if current else out
+
+
+class _Numbered:
+    """Rows of closed windows, numbered on from a task's first number, and of pieces that go on with their ids."""
+
+    def __init__(self, first: int):
+        self.sequence = first
+
+    def rows(self, windows: list[list], left: list[tuple] = ()) -> Iterator[pa.RecordBatch]:
+        out = []
+        for w in windows:
+            offset = 0
+            for doc, start, ids, tokens in w:
+                out.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, self.sequence, offset, None))
+                offset += len(ids) // 4
+            self.sequence += 1
+        out += [(doc, start, len(ids) // 4, None, tokens, None, None, ids) for doc, start, ids, tokens in left]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
 
 
 def pack(docs: DataFrame, tokenizer_file: str | None = None, window: int = WINDOW, end_id: int = END) -> DataFrame:
     """Pieces of all documents (doc_id, text), placed in windows of ``window`` tokens.
 
-    Each task packs the rows it reads, so nothing is shuffled. Documents longer than a window first fill whole ones;
-    the rest is placed online. When a task ends (or holds OPEN_WINDOWS), the pieces of unfilled windows are cut to
-    fill whole ones, so that at most one sequence a task needs padding. A null text is empty; every document ends
-    with ``end_id``, so the empty one has one token; null ids are kept; repeated rows are packed each; an empty
-    table gives an empty table; other columns are left out.
+    Documents longer than a window first fill whole ones; the rest is placed online, by a first pass in the task that
+    reads the document, and, where its window stayed unfilled, by a second over SECOND_IDS left-over ids a task. At the
+    end of that the pieces of unfilled windows are cut to fill whole ones, so at most one sequence a task of the second
+    pass needs padding. A null text is empty; every document ends with ``end_id``, so the empty one has one token; null
+    ids are kept; repeated rows are packed each; texts of any length are taken whole; among equally good levels the
+    fullest counts; an empty table gives an empty table; other columns are left out.
     """
     small_batches(docs.sparkSession)
     path = tokenizer_file or tokenizer_path()
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = WordIds(path), SumOfSquares(window)
-        sequence = TaskContext.get().partitionId() << 32
-
-        def rows(windows: list[list]) -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            out = []
-            for w in windows:
-                offset = 0
-                for doc, start, ids, tokens in w:
-                    out.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, sequence, offset))
-                    offset += len(ids) // 4
-                sequence += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_PIECE)
-
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, packer, out = WordIds(path), SumOfSquares(window), _Numbered(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            closed = []
+            closed, left = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = ids_of(text or "") + end
                 tokens, start = len(ids) // 4, 0
@@ -180,10 +200,27 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, window: int = WINDO
                     start += window
                 if start < tokens:
                     closed += packer.add((doc, start, ids[4 * start :], tokens))
-            yield from rows(closed)
-        yield from rows(packer.close())
+                if packer.crowded:
+                    left += packer.drain()
+            yield from out.rows(closed, left)
+        yield from out.rows([], packer.drain())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, out = SumOfSquares(window), _Numbered(1 << 61 | TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            closed = []
+            for doc, start, tokens, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))):
+                closed += packer.add((doc, start, ids, tokens))
+                if packer.crowded:
+                    closed += filled(packer.drain(), window)
+            yield from out.rows(closed)
+        yield from out.rows(filled(packer.drain(), window))
+
+    first = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first_pass, f"{PIECE}, ids binary"), "packing-first")
+    left = first.where("ids IS NOT NULL").select("doc_id", "start", "doc_tokens", "ids")
+    n_ids = first.where("ids IS NOT NULL").agg(F.sum("length")).first()[0] or 0
+    second = left.repartition(max(1, -(-n_ids // SECOND_IDS))).mapInArrow(second_pass, f"{PIECE}, ids binary")
+    return first.where("ids IS NULL").union(second).drop("ids")
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
