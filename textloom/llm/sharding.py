@@ -1,14 +1,15 @@
 """Sharding by minimax contiguous partition (DataFrame functions only).
 
 Atomic groups (rows of equal text) stand in one global order. The smallest capacity for which greedy cutting
-needs at most ``shards`` shards is found by binary search, then the order is cut there. Greedy cutting only asks
+needs at most ``shards`` shards is found by binary search, then the order is cut within it: greedy cuts show that it is
+enough, and are moved so that every shard gets an even share of what is left, not the last one the rest. Greedy cutting only asks
 for "the last group that ends at or before byte x", so the driver holds a bounded outline of the running sums
 (at most ``OUTLINE`` points a look) and looks closer only at the few stretches in which a cut can fall.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -92,9 +93,34 @@ class _Ends:
                 high = mid
         return low
 
+    def even(self, capacity: int, cuts: list[int], shards: int) -> list[int]:
+        """Cuts at known ends within the capacity that leave each shard an equal share of what is left, or ``cuts`` if such don't fit.
+
+        From a cut at or after the one that a greedy walk from the end would make, the rest fits the shards that remain.
+        """
+        least = [self.total]
+        for _ in range(shards - 1):
+            least.append(self.points[bisect_left(self.points, max(0, least[-1] - capacity))])
+        least.reverse()
+        at, out = 0, []
+        for k in range(shards):
+            if at >= self.total:
+                break
+            goal = at + -(-(self.total - at) // (shards - k))
+            end = self.points[bisect_right(self.points, min(goal, at + capacity)) - 1]
+            after = self.points[min(bisect_right(self.points, end), len(self.points) - 1)]
+            if after <= at + capacity and after - goal < goal - end:
+                end = after  # the nearer one
+            if end <= at or end < least[k]:
+                end = self.points[bisect_right(self.points, at + capacity) - 1]
+            out.append(end)
+            at = end
+        fits = out and out[-1] == self.total and all(0 < b - a <= capacity for a, b in zip([0, *out], out))
+        return out if fits else cuts
+
 
 def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity and its greedy cuts (ends of shards, as running sums)."""
+    """The smallest feasible capacity, and cuts (ends of shards, as running sums) that respect it and leave no shard short where they can."""
     ends = _Ends(groups, total)
     low, high = max(largest, -(-total // shards)), total
     while True:
@@ -107,7 +133,7 @@ def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> tu
                     doubt.append((lo, at + sure))
                 at = end
             if not doubt:
-                return sure, ends.cuts(sure, shards, 0)
+                return sure, ends.even(sure, ends.cuts(sure, shards, 0), shards)
         low, high = hoped, sure
         stretches, a, b = [], 0, 0
         for _ in range(shards):
