@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import parallelism, scratch, small_batches, table, written
+from .common import bounded, parallelism, scratch, small_batches, table, written
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
@@ -29,8 +30,8 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One record as a gzip member; a revisit carries the headers of the full payload but not the payload."""
+def record_bytes(place: str, page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
+    """One record as a gzip member; a revisit carries the headers of the full payload but not the payload. place: file and offset, which give its id."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -38,14 +39,16 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -59,11 +62,11 @@ def parse_record(raw: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in lines[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    ident = lambda name: (lambda v: int(v) if v else None)(fields[name][len("<urn:page:") : -1]) if name in fields else None
+    ident = lambda name: int(fields[name]) if name in fields else None
     revisit = fields["WARC-Type"] == "revisit"
     return {
-        "page_id": ident("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": int(http.rpartition(b"Content-Length: ")[2]),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "record_type": fields["WARC-Type"], "refers_to": ident("WARC-Refers-To"),
+        "page_id": ident("Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": int(http.rpartition(b"Content-Length: ")[2]),
+        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "record_type": fields["WARC-Type"], "refers_to": ident("Refers-To-Page-ID"),
         "payload": None if revisit else payload,
     }
 
@@ -79,9 +82,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     narrow = pages.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest")
-    groups = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    revisits = narrow.join(groups, "digest").where("page_id > refers_to").distinct()
-    rows = pages.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    narrow = written(narrow, "warc-digests")
+    groups = written(narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last"), "warc-groups")
+    revisits = written(narrow.join(groups, "digest").where("page_id > refers_to").distinct(), "warc-revisits")
+    rows = pages.join(bounded(revisits), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -95,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     store, path = _open(name)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(path, compression=None)  # the members are compressed already
-                data = record_bytes(page_id, url, html.encode(), digest, refers_to)
+                data = record_bytes(f"{name}:{at}", page_id, url, html.encode(), digest, refers_to)
                 out.write(data)
                 index.append((page_id, url, digest, "response" if refers_to is None else "revisit", refers_to, name, at, len(data)))
                 at += len(data)
@@ -107,7 +111,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records that the rows of an index name, read by few sorted byte ranges; payloads are checked against their digests."""
+    """The records that the rows of an index name, read by few sorted byte ranges; payloads are checked against their digests.
+
+    Null ids and urls come back null; a revisit has no payload, nor has any record without ``with_payload``; rows of the
+    index that stand there twice are read twice; long payloads come whole; an empty index gives no records; other columns
+    of the index are left out.
+    """
     ranges = index.groupBy("file", F.floor(F.col("offset") / F.lit(RANGE_BYTES)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
