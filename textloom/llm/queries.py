@@ -43,13 +43,6 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
-    "op5_token_counts": """
-        WITH c AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
-        n AS (SELECT source, lang, doc_id = min(doc_id) OVER (PARTITION BY t) AS stays,
-                     len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS blank, len(regexp_extract_all(t, '[A-Za-z0-9]+')) AS alnum FROM c),
-        x AS (SELECT source, lang, 'blank-1' AS tokenizer, CASE WHEN lang = 'de' THEN alnum ELSE blank END AS tokens FROM n WHERE stays
-              UNION ALL SELECT source, lang, 'alnum-1', alnum FROM n WHERE stays)
-        SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM x GROUP BY ALL""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
