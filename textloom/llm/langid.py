@@ -158,18 +158,18 @@ def fit(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, seed: int = 1) -> B
     return ByteConvNet.train(x[even], y[even], labels, seed=seed)
 
 
-def predict(docs: DataFrame, net: ByteConvNet) -> DataFrame:
+def predict(docs: DataFrame, net: ByteConvNet, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
     """Every row of docs (all its columns) with held_out, lang_pred and score.
 
     The score of a language is its mean probability over all windows of the text, weighted by their bytes.
     ``und`` with score 0 for a null text or one without a letter. Only the text is read for the prediction; null
-    ids are not held out; repeated rows get equal results; an empty table gives an empty table. A column of docs
-    with one of the three new names is replaced.
+    ids are not held out; repeated rows get equal results; texts of any length are read whole; of equally probable
+    languages the first by name counts; an empty table gives an empty table. The three new columns may be given other
+    ``names``; columns of docs with these names are replaced, all others kept.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = docs.drop(*names)
     schema = docs.schema
-    add = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
     texts = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +189,12 @@ def predict(docs: DataFrame, net: ByteConvNet) -> DataFrame:
                 k = int(mean.argmax())
                 pred.append(labels[k])
                 score.append(float(min(1.0, mean[k])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, add[0].type), pa.array(score, add[1].type)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names[1:]])
 
     from pyspark.sql import types as T
 
-    out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, out).withColumn("held_out", held_out(F.col("doc_id")))
+    out = T.StructType([*schema.fields, T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
+    return docs.mapInArrow(run, out).withColumn(names[0], held_out(F.col("doc_id")))
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
