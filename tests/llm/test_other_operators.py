@@ -71,7 +71,7 @@ def test_warc_round_trip(spark):
 
 
 def test_damaged_record_is_an_error(spark):
-    bad = warc.parse_record(warc_raw := __import__("zlib").decompress(warc.record_bytes(1, "u", b"abc", "0" * 64, None), 31))
+    bad = warc.parse_record(warc_raw := __import__("zlib").decompress(warc.record_bytes("file:0", 1, "u", b"abc", "0" * 64, None), 31))
     assert bad["payload"] == b"abc" and warc_raw.startswith(b"WARC/1.1\r\n")
 
 
