@@ -1,9 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import measures, text as X
 from textloom.functions.lexer import lex, typed_tokens
-from textloom.functions.patterns import ABBREVIATIONS
+from textloom.functions.patterns import ABBREVIATIONS, TOKEN_CLASSES
 from textloom.functions.stem import lemma_noun, stem_english, stem_russian, with_stems
 
 
@@ -27,6 +29,8 @@ def test_all_tokenizers_and_segmenters_take_null(spark):
         ("mail_phone_link", "write had221@gmd.com or +78554434555, see https://bit.ly/x", ["write", "had221@gmd.com", "or", "+78554434555", "see", "https://bit.ly/x"]),
         ("simple", "a@b.ru +7-901-000-00-00 naïve", ["a@b.ru", "+7-901-000-00-00", "naïve"]),
         ("news", "U.S grew 3,5 well-known dog's end.", ["U.S", "grew", "3,5", "well-known", "dog's", "end", "."]),
+        ("news", "at 12:30 on 1.02.2003 corporate", ["at", "12:30", "on", "1.02", ".", "2003", "corpo", "rate"]),
+        ("news_social", "at 9:05 I'd go.", ["at", "9:05", "I", "'", "d", "go", "."]),
         ("tweet", "see #tag @me don't!", ["see", "#tag", "@me", "don't", "!"]),
         ("letters", "Привет, world 5", ["Привет", "world"]),
         ("russian", "Да?! нет... x@y.ru", ["Да", "?!", "нет", "...", "x@y.ru"]),
@@ -37,6 +41,16 @@ def test_token_classes(spark, kind, text, want):
     assert one(spark, text, X.tokens("t", kind))[0] == want
 
 
+@pytest.mark.parametrize("kind", ["news", "news_social", "inner_marks", "social", "masked"])
+def test_token_classes_with_look_around_over_whole_texts(spark, kind):
+    """Python's own engine takes the same patterns; SQL has no look-around."""
+    pattern = re.compile("|".join(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), c) for c in TOKEN_CLASSES[kind]))
+    odd = ["at 12:30, 1,5 U.N corp. x-ray dog's @me #tag a.b@c.de \U0001f31e (555) 123-4567 <3 :-) 50% $5 I'm well-known?!", "A.B. said: \"re-do it\"\nok.", "", None]
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").union(spark.createDataFrame([(x,) for x in odd], "text string"))
+    for r in rows.select("text", X.tokens("text", kind).alias("t")).collect():
+        assert r.t == (None if r.text is None else [m[0] for m in pattern.finditer(r.text)])
+
+
 def test_sentences(spark):
     assert one(spark, "One... two? three! four", X.sentences("t", "stops"))[0] == ["One...", "two?", "three!", "four"]
     assert one(spark, "One... two? three! four", X.sentences("t", "stops", keep_tail=False))[0] == ["One...", "two?", "three!"]

@@ -75,6 +75,18 @@ def mi_like(f, c1, c2, c3, n) -> Column:
     return f * f * f / (c1 * c2 * c3)
 
 
+def pmi(f, c1, c2, c3, n) -> Column:
+    """The library's pointwise mutual information of a triple."""
+    f, c1, c2, c3, n = _d(f, c1, c2, c3, n)
+    return F.log2(f * n * n) - F.log2(c1 * c2 * c3)
+
+
+def student_t(f, c1, c2, c3, n) -> Column:
+    """The library's t-score; its smallest number keeps the root from being zero."""
+    f, c1, c2, c3, n = _d(f, c1, c2, c3, n)
+    return (f - c1 * c2 * c3 / (n * n)) / F.sqrt(f + 1e-20)
+
+
 MEASURES: dict[str, Callable[..., Column]] = {
     "t_score": t_score,
     "t_score_smoothed": t_score_smoothed,
@@ -85,4 +97,6 @@ MEASURES: dict[str, Callable[..., Column]] = {
     "mi_single": mutual_information_single,
     "log_likelihood": log_likelihood,
     "mi_like": mi_like,
+    "pmi": pmi,
+    "student_t": student_t,
 }

@@ -47,6 +47,11 @@ def sentences(text: Column | str, kind: str = "guarded", keep_tail: bool = True)
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, unicode(r"^\s+|\s+$"), "")), lambda s: s != "")
 
 
+def without_bare_terminators(sents: Column | str, bare: tuple[str, ...] = ("?", "!", ".", "...", "?!", "!?")) -> Column:
+    """Sentences that are more than one terminator."""
+    return F.filter(_col(sents), lambda s: ~s.isin(*bare))
+
+
 def sentences_of_tokens(toks: Column | str, ends: tuple[str, ...] = (".", "?", "!", "...")) -> Column:
     """Arrays of tokens, cut after each run of terminators (repeated terminators stay together); the tail is kept."""
     toks, last = _col(toks), F.array(*[F.lit(e) for e in ends])
@@ -122,7 +127,8 @@ def mail_parts(text: Column | str) -> Column:
 
 def author(text: Column | str) -> Column:
     """What follows ``From:`` up to the next ``word:``; null if absent or blank."""
-    return F.nullif(F.trim(F.regexp_extract(_col(text), r"(?s)From:(.*?)(?=\w+:|$)", 1)), F.lit(""))
+    sender = F.regexp_extract(_col(text), r"(?s)From:(.*?)(?=\w+:|$)", 1)
+    return F.nullif(F.regexp_replace(sender, unicode(r"^\s+|\s+$"), ""), F.lit(""))
 
 
 def mapped(toks: Column | str, mapping: dict[str, str] | None = None) -> Column:
