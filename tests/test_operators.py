@@ -20,7 +20,7 @@ def test_ngrams(docs):
     assert sorted(map(tuple, ngrams.triple_counts(t).collect())) == [("a", "b", "c", 2), ("b", "c", "a", 1), ("c", "a", "b", 1)]
     padded = ngrams.triples(docs, X.words("text"), padded=True)
     assert padded.count() == 9 and padded.where("w2 IS NULL").count() == 3
-    m = {(r.level, r.w1, r.w2, r.w3): r.f for r in ngrams.marginals(padded).collect()}
+    m = {(r.level, r.w1, r.w2, r.w3): r.f for r in ngrams.marginals(ngrams.triple_counts(padded)).collect()}
     assert m["w1", "a", None, None] == 3 and m["w1_w2", "a", "b", None] == 3 and m["w1_w3", "a", None, "c"] == 2
 
 
@@ -41,6 +41,40 @@ def test_weights(docs):
     assert got[1, 5] == got[3, 1] == 0 and 0.8 < got[1, 2] <= 1
 
 
+def test_term_counts_inside_rows(docs):
+    got = T.term_counts_in_rows(docs, X.words("text")).collect()
+    assert {(r.doc_id, r.term, r.tf) for r in got} == {tuple(r) for r in T.term_counts(ngrams.token_table(docs)).collect()} and len(got) == 7
+    assert {(r.doc_id, r.length) for r in got} == {(1, 5), (2, 3), (5, 1)}
+    relative = lambda tf: {(r.doc_id, r.term): round(r.weight, 9) for r in T.tf_idf(tf, docs.select("doc_id"), relative=True).collect()}
+    assert relative(T.term_counts_in_rows(docs, X.words("text"))) == relative(T.term_counts(ngrams.token_table(docs)))
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    from textloom.sources import readers
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/small")
+    rows = readers.dealt_table(spark, f"{tmp_path}/small")
+    assert rows.count() == 1000 and rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_grid_search_and_saved_models(spark, tmp_path):
+    from pyspark.ml.classification import LinearSVC
+
+    from textloom.operators import metrics, models
+    from textloom.sources import readers, sinks
+
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 2) * 2 - 1 + (i % 7) / 10, 1.0]) for i in range(80)], "id long, label int, vector array<double>")
+    found = models.grid_search(rows, "id", lambda a, b, reg: models.linear_svm(a, b, scheme="ovo", reg=reg, max_iter=5), {"reg": [0.01, 0.1]}, metrics.macro).collect()
+    assert sorted(r.model for r in found) == ["reg=0.01", "reg=0.1"] and all(r.f1 == 1 for r in found)
+    from pyspark.ml.functions import array_to_vector
+
+    ready = rows.select("label", array_to_vector("vector").alias("features"))
+    fitted = LinearSVC(maxIter=5).fit(ready)
+    sinks.model(fitted, f"{tmp_path}/svm")
+    again = readers.saved_model(spark, f"{tmp_path}/svm")
+    assert [r.prediction for r in again.transform(ready).collect()] == [r.prediction for r in fitted.transform(ready).collect()]
+
+
 def test_smooth_idf_equals_the_library(docs):
     from pyspark.ml.feature import IDF, CountVectorizer
 

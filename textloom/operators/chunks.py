@@ -67,14 +67,10 @@ def split_overlapping(toks: Column | str, size: int, overlap: int = 0) -> Column
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than size")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"))
-
-    def add(s: Column, x: Column) -> Column:  # one pass: a full window is closed when the next token comes
-        cur = F.concat(s["cur"], F.array(x))
-        closed = F.struct(F.concat(s["done"], F.array(F.array_join(s["cur"], " "))).alias("done"), F.concat(F.slice(s["cur"], step + 1, size), F.array(x)).alias("cur"))
-        return F.when(F.size(s["cur"]) >= size, closed).otherwise(F.struct(s["done"].alias("done"), cur.alias("cur")))
-
-    return F.aggregate(t, start, add, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["done"]))
+    n = F.size(t)
+    count = F.when(n <= size, F.least(n, F.lit(1))).otherwise(F.ceil((n - size) / step) + 1).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice(t, k * step + 1, F.lit(size)), " "))
+    return F.when(n > 0, windows).when(n == 0, F.array().cast("array<string>"))
 
 
 def fragments(docs: DataFrame, pieces: Column, *metadata: str) -> DataFrame:

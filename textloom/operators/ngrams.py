@@ -44,11 +44,19 @@ def triple_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*TRIPLE).agg(F.count("*").alias("f"))
 
 
-def marginals(rows: DataFrame) -> DataFrame:
-    """Counts of padded triples by first word, first two, outer two and all three: (level, w1, w2, w3, f)."""
-    sets = rows.groupingSets([["w1"], ["w1", "w2"], ["w1", "w3"], TRIPLE], *TRIPLE).agg(F.count("*").alias("f"), F.grouping_id().alias("g"))
-    level = F.when(F.col("g") == 3, "w1").when(F.col("g") == 1, "w1_w2").when(F.col("g") == 2, "w1_w3").otherwise("w1_w2_w3")
-    return sets.select(level.alias("level"), *TRIPLE, "f")
+def marginals(counts: DataFrame) -> DataFrame:
+    """Counts by first word, first two, outer two and all three, from counts of padded triples (w1, w2, w3, f): (level, w1, w2, w3, f).
+
+    Each level is summed up from counts, the first words from those of the first two; give a written table.
+    """
+    none = F.lit(None).cast("string")
+    two = counts.groupBy("w1", "w2").agg(F.sum("f").alias("f"))
+    return (
+        counts.select(F.lit("w1_w2_w3").alias("level"), *TRIPLE, "f")
+        .union(two.select(F.lit("w1_w2"), "w1", "w2", none, "f"))
+        .union(counts.groupBy("w1", "w3").agg(F.sum("f").alias("f")).select(F.lit("w1_w3"), "w1", none, "w3", "f"))
+        .union(two.groupBy("w1").agg(F.sum("f").alias("f")).select(F.lit("w1"), "w1", none, none, "f"))
+    )
 
 
 def scored(counts: DataFrame, unigrams: DataFrame, size: DataFrame, measure: Callable[..., Column], name: str = "score") -> DataFrame:

@@ -43,6 +43,16 @@ def crc_split(df: DataFrame, key: str, shares: dict[str, int], name: str = "part
     return df.withColumn(name, part)
 
 
+def digest_split(df: DataFrame, key: str, shares: dict[str, int], name: str = "part") -> DataFrame:
+    """As hash_split, by the first 32 bits of the MD5 of the key's decimal text."""
+    h = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(100))
+    part, at = F.lit(None).cast("string"), 0
+    for label, share in shares.items():
+        part = F.when((h >= at) & (h < at + share), label).otherwise(part)
+        at += share
+    return df.withColumn(name, part)
+
+
 def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.orderBy(F.rand(seed))
 

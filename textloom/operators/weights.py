@@ -10,6 +10,18 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("tf"))
 
 
+def term_counts_in_rows(docs: DataFrame, toks: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, term, tf, length) of a table with one row a document: counted inside the row, so nothing is shuffled.
+
+    The tokens are sorted; a term's count is the distance between the places where it and the next one begin.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(toks).alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.where(F.size("s") > 0).select("doc_id", "s", F.concat(first, F.array(F.size("s"))).alias("b"))
+    terms = F.transform(F.slice("b", F.lit(1), F.size("b") - 1), lambda at, k: F.struct(F.get("s", at).alias("term"), (F.get("b", k + 1) - at).cast("long").alias("tf")))
+    return rows.select("doc_id", F.size("s").cast("long").alias("length"), F.inline(terms)).select("doc_id", "term", "tf", "length")
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -28,19 +40,20 @@ IDF = {
 }
 
 
-def tf_idf(tf: DataFrame, docs: DataFrame, idf: str = "ln_smooth", relative: bool = False, lengths: DataFrame | None = None) -> DataFrame:
+def tf_idf(tf: DataFrame, docs: DataFrame, idf: str = "ln_smooth", relative: bool = False, lengths: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight): tf times one of IDF. docs: the documents counted (one row each).
 
-    relative: tf is divided by the document's length, from lengths (doc_id, length) or else the sum of its tf.
+    relative: tf is divided by the document's length, from a column of tf, from lengths (doc_id, length) or else the sum
+    of its tf. df: document frequencies, if they are at hand. tf is read for each of these: give a written table.
     """
-    df = document_frequency(tf)
+    df = document_frequency(tf) if df is None else df
     n = docs.agg(F.count("*").cast("double").alias("n"))
     rows = tf.join(df, "term").crossJoin(F.broadcast(n))
     count = F.col("tf").cast("double")
     if relative:
-        if lengths is None:
+        if "length" not in tf.columns and lengths is None:
             lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-        rows = rows.join(lengths, "doc_id")
+        rows = rows if lengths is None else rows.join(lengths, "doc_id")
         count = count / F.col("length")
     return rows.select("doc_id", "term", (count * IDF[idf](F.col("n"), F.col("df").cast("double"))).alias("weight"))
 

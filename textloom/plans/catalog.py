@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import measures as M, stem as stemming, text as X
 from ..functions.lexer import typed_tokens
 from ..functions.protected import protected_sentences
 from ..operators import chunks, metrics, models, ngrams, qa, relational as R, search, vectors as V, weights as T
+from ..sources import readers
 from ..streaming import events as E
+from . import cuts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +34,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents")
+    return readers.dealt_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,18 +92,19 @@ def trigram_freq(spark, d):
     return ngrams.triple_counts(ngrams.triples(docs(spark, d), X.words("text"))).where("f >= 2")
 
 
-def _scores(measure: str, expr: str, words: str = "u", size: str = "s", lowest: bool = False):
-    sql = f"""WITH {EN_TOK}, {TRI}, {COUNTS}, i AS (SELECT w1 AS token, count(*) AS n FROM tri GROUP BY w1), v AS (SELECT count(DISTINCT token) AS n FROM tok), tt AS (SELECT sum(f) AS n FROM f),
+def _scores(measure: str, expr: str, words: str = "u", size: str = "s", lowest: bool = False, lang: str | None = None):
+    sql = f"""WITH {EN_TOK if lang else TOK}, {TRI}, {COUNTS}, i AS (SELECT w1 AS token, count(*) AS n FROM tri GROUP BY w1), v AS (SELECT count(DISTINCT token) AS n FROM tok), tt AS (SELECT sum(f) AS n FROM f),
         x AS (SELECT w1, w2, w3, f.f, CAST(f.f AS DOUBLE) AS g, CAST(a.n AS DOUBLE) AS c1, CAST(b.n AS DOUBLE) AS c2, CAST(c.n AS DOUBLE) AS c3, CAST(z.n AS DOUBLE) AS n
               FROM f JOIN {words} a ON a.token = w1 JOIN {words} b ON b.token = w2 JOIN {words} c ON c.token = w3, {size} z)
         SELECT w1, w2, w3, f, round({expr}, 6) AS score FROM x ORDER BY score {'' if lowest else 'DESC'}, w1, w2, w3 LIMIT 30"""
 
     def run(spark, d):
-        en = english(spark, d)
-        rows = ngrams.triples(en, X.words("text"))
-        counts, tok = ngrams.triple_counts(rows), ngrams.token_table(en)
-        uni = ngrams.token_counts(tok) if words == "u" else rows.groupBy(F.col("w1").alias("token")).agg(F.count("*").alias("n"))
-        n = {"s": lambda: tok.agg(F.count("*").alias("n")), "v": lambda: tok.agg(F.countDistinct("token").alias("n")), "tt": lambda: counts.agg(F.sum("f").alias("n"))}[size]()
+        chosen = english(spark, d) if lang else docs(spark, d)
+        counts = cuts.written(ngrams.triple_counts(ngrams.triples(chosen, X.words("text"))))
+        uni = cuts.written(ngrams.token_counts(ngrams.token_table(chosen)))
+        n = {"s": lambda: uni.agg(F.sum("n").alias("n")), "v": lambda: uni.agg(F.count("*").alias("n")), "tt": lambda: counts.agg(F.sum("f").alias("n"))}[size]()
+        if words == "i":  # words as the first of a triple
+            uni = cuts.written(counts.groupBy(F.col("w1").alias("token")).agg(F.sum("f").alias("n")))
         got = ngrams.scored(counts, uni, n, M.MEASURES[measure]).withColumn("score", six("score"))
         return ngrams.top(got, 30, lowest=lowest).select("w1", "w2", "w3", "f", "score")
 
@@ -109,7 +112,7 @@ def _scores(measure: str, expr: str, words: str = "u", size: str = "s", lowest:
 
 
 for _name, _args in {
-    "trigram_tscore_top": ("t_score", "(g - c1 * c2 * c3 / (n * n)) / sqrt(g)"),
+    "trigram_tscore_top": ("t_score", "(g - c1 * c2 * c3 / (n * n)) / sqrt(g)", "u", "s", False, "en"),
     "trigram_tscore_smoothed_top": ("t_score_smoothed", "(g - c1 * c2 * c3 / (n * n)) / sqrt(g + 1e-5)", "i", "v"),
     "trigram_mi_top": ("mi", "log2(g * n * n / (c1 * c2 * c3))"),
     "trigram_mi_bottom": ("mi", "log2(g * n * n / (c1 * c2 * c3))", "u", "s", True),
@@ -133,7 +136,7 @@ def document_tscore(spark, d):
     SELECT CASE grouping(w2, w3) WHEN 3 THEN 'w1' WHEN 1 THEN 'w1_w2' WHEN 2 THEN 'w1_w3' ELSE 'w1_w2_w3' END AS level, w1, w2, w3, count(*) AS f
     FROM p GROUP BY GROUPING SETS ((w1), (w1, w2), (w1, w3), (w1, w2, w3)) HAVING count(*) >= 5""")
 def trigram_marginals(spark, d):
-    return ngrams.marginals(ngrams.triples(docs(spark, d), X.words("text"), padded=True)).where("f >= 5")
+    return ngrams.marginals(cuts.written(ngrams.triple_counts(ngrams.triples(docs(spark, d), X.words("text"), padded=True)))).where("f >= 5")
 
 
 @query(f"WITH {TOK}, b AS (SELECT token AS w1, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM tok) SELECT w1, w2, count(*) AS f FROM b WHERE w2 IS NOT NULL GROUP BY ALL ORDER BY f DESC, w1, w2 LIMIT 100")
@@ -161,20 +164,86 @@ def annotation_tokens(spark, d):
     return s.select("doc_id", "sent", F.size(X.words("t")).alias("n"))
 
 
-_W = r"[\p{L}\p{N}_]"
-_TOKENIZER_SQL = {"blank": r"[^ \t\n\x0B\f\r]+", "letters": "[А-Яа-яЁёA-Za-z]+", "simple": rf"{_W}+@{_W}+\.{_W}+|\+\d{{1,3}}-\d{{3}}-\d{{3}}-\d{{2}}-\d{{2}}|{_W}+"}
+def digest(parts):
+    """The number of an array's strings, and the MD5 of them all, joined."""
+    return F.coalesce(F.size(parts), F.lit(0)).alias("n"), F.md5(F.array_join(parts, "|")).alias("digest")
+
+
+def digest_sql(parts: str, source: str = "documents", with_: str = "") -> str:
+    return f"{with_ or 'WITH'} x AS (SELECT doc_id, {parts} AS c FROM {source}) SELECT doc_id, CAST(len(c) AS INTEGER) AS n, md5(array_to_string(c, '|')) AS digest FROM x"
+
+
+def plain(pattern: str) -> str:
+    """A token class in the syntax without look-around: Unicode classes spelled out, word edges left out (a scan of whole runs begins and ends at them)."""
+    out, inside = "", False
+    for at, c in enumerate(pattern):
+        if c == "\\" or at and pattern[at - 1] == "\\" and (at < 2 or pattern[at - 2] != "\\"):
+            out += c
+        else:
+            inside = (inside or c == "[") and c != "]"
+            out += c
+        if out.endswith("\\w"):
+            out = out[:-2] + (r"\p{L}\p{M}\p{Nd}\p{Pc}" if inside else r"[\p{L}\p{M}\p{Nd}\p{Pc}]")
+        elif out.endswith("\\d"):
+            out = out[:-2] + r"\p{Nd}"
+        elif out.endswith("\\b"):
+            out = out[:-2]
+    return out
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def token_sql(kind: str) -> str:
+    """The tokens of a kind as a list; for kinds whose classes need no look-around."""
+    return f"regexp_extract_all(text, {quoted('|'.join(map(plain, X.TOKEN_CLASSES[kind])))})"
+
+
+BLANK = r"regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')"
+_PLAIN_KINDS = ("mail_phone_link", "tweet", "tweet_words", "simple", "russian", "letters", "words")
 for _k in (*X.TOKENIZERS,):
 
     def _run(spark, d, k=_k):
-        return docs(spark, d).select("doc_id", F.size(X.tokens("text", k)).alias("n"))
-
-    query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_TOKENIZER_SQL[_k]}')) AS INTEGER) AS n FROM documents" if _k in _TOKENIZER_SQL else None, f"tokens_{_k}")(_run)
+        return docs(spark, d).select("doc_id", *digest(X.tokens("text", k)))
+
+    query(digest_sql(BLANK) if _k == "blank" else digest_sql(token_sql(_k)) if _k in _PLAIN_KINDS else None, f"tokens_{_k}")(_run)
+
+
+def _trimmed(parts: str) -> str:
+    return rf"list_filter(list_transform({parts}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _cut_sql(near: str, cut: str, wide: int) -> str:
+    """Pieces of a text between the places p at which a condition holds: after the character at p, or (wide) around it. near: what the characters c of a text must be at such a place i."""
+    return f"""WITH w AS (SELECT doc_id, list(p ORDER BY p) AS cuts FROM (SELECT doc_id, text, unnest(list_filter(range(1, len(c) + 1), lambda i: {near})) AS p FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents)) WHERE {cut} GROUP BY doc_id),
+        v AS (SELECT doc_id, text, coalesce(cuts, []) AS cuts FROM documents LEFT JOIN w USING (doc_id)),
+        u AS (SELECT doc_id, list_transform(range(0, len(cuts) + 1), lambda i: text[CASE WHEN i = 0 THEN 1 ELSE cuts[i] + 1 END : CASE WHEN i = len(cuts) THEN length(text) ELSE cuts[i + 1] - {wide} END]) AS p FROM v),"""
+
+
+_B = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+_AFTER = rf"NOT coalesce(p > {{4}} AND regexp_matches(substr(text, p - {{4}}, 4), '^{_B}\.{_B}.$'), false) AND NOT coalesce(p > {{3}} AND regexp_matches(substr(text, p - {{3}}, 3), '^[A-Z][a-z]\.$'), false)"
+_CUTS = {
+    "guarded": ("c[i] IN ('.', '?', '!')", rf"substr(text, p, 1) IN ('.', '?', '!') AND regexp_matches(substr(text, p + 1, 1), '^[\s#]$') AND " + _AFTER.replace("p > {4}", "p >= 4").replace("p > {3}", "p >= 3").replace("{4}", "3").replace("{3}", "2"), 0),
+    "lines": ("i > 1 AND c[i - 1] IN ('.', '?', '!', chr(10))", r"regexp_matches(substr(text, p, 1), '^\s$') AND p > 1 AND substr(text, p - 1, 1) IN ('.', '?', '!', chr(10)) AND " + _AFTER.replace("{4}", "4").replace("{3}", "3"), 1),
+    "newline": ("c[i] = chr(10) OR i > 1 AND c[i - 1] IN ('.', '?', '!')", rf"""(regexp_matches(substr(text, p, 1), '^\s$') AND p > 1 AND substr(text, p - 1, 1) IN ('.', '?', '!') AND regexp_matches(substr(text, p + 1, 1), '^[A-Z]$')
+        AND NOT coalesce(p > 3 AND regexp_matches(substr(text, p - 3, 3), '^\s{_B}\.$'), false) AND {_AFTER.replace("{4}", "4").replace("{3}", "3")})
+        OR (substr(text, p, 1) = chr(10) AND NOT (p > 1 AND substr(text, p - 1, 1) IN (',', '-', ':')) AND regexp_matches(substr(text, p + 1, 2), '^([A-Z]|" )'))""", 1),
+}
+_SENTENCE_SQL = {
+    "stops": digest_sql(SENT),
+    "capital": digest_sql(_trimmed(r"string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))")),
+    "dropped": digest_sql(_trimmed(f"regexp_split_to_array(text, {quoted(X.SENTENCE_SPLITS['dropped'])})")),
+    "guarded": digest_sql(_trimmed("p"), "u", _cut_sql(*_CUTS["guarded"])),
+    "newline": digest_sql(_trimmed("p"), "u", _cut_sql(*_CUTS["newline"])),
+    "lines": digest_sql(_trimmed("flatten(list_transform(p, lambda x: string_split(x, chr(10))))"), "u", _cut_sql(*_CUTS["lines"])),
+}
 for _k in X.SEGMENTERS:
 
     def _cut(spark, d, k=_k):
-        return docs(spark, d).select("doc_id", F.size(X.sentences("text", k)).alias("n"))
+        return docs(spark, d).select("doc_id", *digest(X.sentences("text", k)))
 
-    query(None, f"sentences_{_k}")(_cut)
+    query(_SENTENCE_SQL[_k], f"sentences_{_k}")(_cut)
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS blanks, md5(regexp_replace(text, '\d', '', 'g')) AS digits, md5(lower(text)) AS low,
@@ -188,19 +257,32 @@ def stop_words_removed(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.without_stop_words(X.words("text"))).alias("n"))
 
 
-@query(None)
+def _social_sql() -> str:
+    out = "text"
+    for pattern, by in ((r"\r|\n", " "), (r"(?:https?\://|www\.)\S+", ""), (X.TOKEN_CLASSES["social"][1], ""), (r"\@\S+", " "), (r"#\S+", " "), (r"(:|;|=)(-|_)?(\)|\(|D|P)", ""), (r"[^\x00-\x7f]", ""), (r"\s\s+", " "), (r"[?.!]+([?.!])", r"\1")):
+        out = f"regexp_replace({out}, {quoted(pattern)}, '{by}', 'g')"
+    return f"list_filter(regexp_split_to_array({out}, '\\s+'), lambda x: x <> '')"
+
+
+@query(digest_sql(_social_sql()))
 def social_clean(spark, d):
-    return docs(spark, d).select("doc_id", F.size(X.social_clean("text")).alias("n"))
+    return docs(spark, d).select("doc_id", *digest(X.social_clean("text")))
 
 
 @query(None)
 def sentences_protected(spark, d):
-    return docs(spark, d).select("doc_id", F.size(protected_sentences()(F.col("text"))).alias("n"))
+    return docs(spark, d).select("doc_id", *digest(protected_sentences()(F.col("text"))))
 
 
-@query(None)
+@query(f"""WITH k AS (SELECT doc_id, unnest({token_sql("tweet")}) AS t, generate_subscripts({token_sql("tweet")}, 1) AS i FROM documents),
+    e AS (SELECT *, t IN ('.', '?', '!', '...') AS ends, coalesce(lag(t) OVER w IN ('.', '?', '!', '...'), false) AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT *, sum(CAST(after AND NOT ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS sent FROM e),
+    s AS (SELECT doc_id, sent, string_agg(t, ' ' ORDER BY i) AS s FROM g GROUP BY ALL),
+    x AS (SELECT doc_id, list(s ORDER BY sent) AS c FROM s GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(len(c), 0) AS INTEGER) AS n, md5(coalesce(array_to_string(c, '|'), '')) AS digest FROM documents LEFT JOIN x USING (doc_id)""")
 def sentences_of_tokens(spark, d):
-    return docs(spark, d).select("doc_id", F.size(X.sentences_of_tokens(X.tokens("text", "tweet"))).alias("n"))
+    cut = F.transform(X.sentences_of_tokens(X.tokens("text", "tweet")), lambda s: F.array_join(s, " "))
+    return docs(spark, d).select("doc_id", *digest(cut))
 
 
 @query(None)
@@ -209,16 +291,18 @@ def typed_lexer(spark, d):
     return rows.groupBy("t.kind").agg(F.count("*").alias("n"), F.sum(F.length("t.text")).alias("chars"))
 
 
-@query(r"SELECT conv_id, turn, role AS author, text AS body FROM conversations WHERE role <> ''")
+@query("SELECT conv_id, turn, role AS author, CASE WHEN turn % 2 = 0 THEN 's: ' || role END AS subject, '--' || chr(10) || text AS body FROM conversations")
 def mail_headers(spark, d):
-    mail = t(spark, d, "conversations").withColumn("mail", F.concat(F.lit("From: "), "role", F.lit("\n\n"), F.regexp_replace("text", r"^(?=\s)|^(?=[^\n]*: )|^$", "")))
-    parts = mail.select("conv_id", "turn", "text", X.mail_parts("mail").alias("m"))
-    return parts.select("conv_id", "turn", F.col("m.headers")["From"].alias("author"), F.col("text").alias("body"))
+    head = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("From: nobody\nSubject: s: "), "role", F.lit("\n"))).otherwise(F.lit("To: all\n\n"))
+    mail = t(spark, d, "conversations").withColumn("mail", F.concat(head, F.lit("From: "), "role", F.lit("\n\n--\n"), "text"))
+    parts = mail.select("conv_id", "turn", X.mail_parts("mail").alias("m"))
+    return parts.select("conv_id", "turn", F.try_element_at("m.headers", F.lit("From")).alias("author"), F.try_element_at("m.headers", F.lit("Subject")).alias("subject"), "m.body")
 
 
-@query("SELECT doc_id, source AS author FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || ' of ' || lang END AS author FROM documents")
 def author_extraction(spark, d):
-    return docs(spark, d).select("doc_id", X.author(F.concat(F.lit("Date: x From: "), "source", F.lit(" Lines: "), "text")).alias("author"))
+    sender = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Date: x From: "), "source", F.lit(" Lines: 3"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("From:\n "), "source", F.lit(" of "), "lang")).otherwise(F.lit("Date: x From: Lines: 3"))
+    return docs(spark, d).select("doc_id", X.author(sender).alias("author"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'weather,birds' ELSE 'positive-attitude' END AS labels FROM documents")
@@ -229,7 +313,7 @@ def pictograph_labels(spark, d):
 
 @query(None)
 def vocabulary_stems(spark, d):
-    vocab = ngrams.token_counts(ngrams.token_table(english(spark, d)))
+    vocab = ngrams.token_counts(ngrams.token_table(docs(spark, d)))
     return stemming.with_stems(stemming.with_stems(vocab), stem="lemma", language="lemma").select("token", "stem", "lemma", "n")
 
 
@@ -240,14 +324,19 @@ TF = f"{TOK}, tf AS (SELECT doc_id, token AS term, count(*) AS tf FROM tok GROUP
 
 @query(f"WITH {TF} SELECT term, df FROM df")
 def doc_freq(spark, d):
-    return T.document_frequency(T.term_counts(ngrams.token_table(docs(spark, d))))
+    return T.document_frequency(T.term_counts_in_rows(docs(spark, d), X.words("text")))
+
+
+def _weighted(spark, d, idf: str, relative: bool = False):
+    tf = cuts.written(T.term_counts_in_rows(docs(spark, d), X.words("text")))  # the only pass over the texts
+    return T.tf_idf(tf, t(spark, d, "documents").select("doc_id"), idf, relative, df=cuts.written(T.document_frequency(tf)))
 
 
 def _weights(idf: str, expr: str, relative: bool):
     count = "tf / CAST(length AS DOUBLE)" if relative else "tf"
 
     def run(spark, d):
-        w = T.tf_idf(T.term_counts(ngrams.token_table(docs(spark, d))), docs(spark, d).select("doc_id"), idf, relative)
+        w = _weighted(spark, d, idf, relative)
         return w.groupBy("doc_id").agg(F.count("*").alias("terms"), six(F.sum("weight")).alias("total"), six(F.max("weight")).alias("most"))
 
     return run, f"WITH {TF}, w AS (SELECT doc_id, {count} * ({expr}) AS weight FROM tf JOIN df USING (term) JOIN l USING (doc_id), n) SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS most FROM w GROUP BY doc_id"
@@ -284,7 +373,7 @@ def term_category_matrix(spark, d):
     LEFT JOIN p ON p.a = x.doc_id LEFT JOIN m ma ON ma.doc_id = x.doc_id LEFT JOIN m mb ON mb.doc_id = y.doc_id""")
 def doc_cosine_pairs(spark, d):
     ids = docs(spark, d).select("doc_id")
-    w = T.tf_idf(T.term_counts(ngrams.token_table(docs(spark, d))), ids)
+    w = cuts.written(_weighted(spark, d, "ln_smooth"))
     pairs = ids.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(ids.withColumnRenamed("doc_id", "b"), "b", "left_semi")
     return T.cosine_pairs(w, pairs).select("a", "b", six("cosine").alias("cosine"))
 
@@ -347,11 +436,11 @@ def mean_rank(spark, d):
     return search.mean_rank(ranks).select(six("mean_rank").alias("mean_rank"), "queries")
 
 
-@query(_knn_sql("cosine", 5) + " SELECT query_id, string_agg(substr(text, 1, 40), ' ' ORDER BY rank) AS context FROM r JOIN documents ON doc_id = id WHERE rank < 5 GROUP BY query_id")
+@query(_knn_sql("cosine", 5) + " SELECT query_id, CAST(length(string_agg(text, ' ' ORDER BY rank)) AS INTEGER) AS n_chars, md5(string_agg(text, ' ' ORDER BY rank)) AS digest FROM r JOIN documents ON doc_id = id WHERE rank < 5 GROUP BY query_id")
 def context_top5(spark, d):
-    known = t(spark, d, "embeddings").join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 40).alias("document")), "vec_id", "left")
-    got = search.knn(known, _asked(spark, d), 5, "cosine", id_col="vec_id")
-    return qa.contexts(got, known.where("document IS NOT NULL").select(F.col("vec_id").alias("id"), "document"))
+    got = search.knn(t(spark, d, "embeddings"), _asked(spark, d), 5, "cosine", id_col="vec_id")
+    whole = qa.contexts(got, docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document")))
+    return whole.select("query_id", F.char_length("context").alias("n_chars"), F.md5("context").alias("digest"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -400,10 +489,30 @@ _chunk(lambda: chunks.fixed("text", 100, False), "list_transform(range(0, length
 _chunk(lambda: chunks.fixed("text", 100), "list_transform(range(0, CAST(ceil(length(text) / 100.0) AS BIGINT)), lambda k: substr(text, k * 100 + 1, 100))", "fixed_chunks_tail")
 _chunk(lambda: chunks.sliding("text", 200, 100, False), "list_transform(range(0, greatest(0, CAST(ceil((length(text) - 100) / 100.0) AS BIGINT))), lambda k: substr(text, k * 100 + 1, 200))", "sliding_chunks")
 _chunk(lambda: X.sentences("text", "stops"), SENT, "sentence_chunks")
-_chunk(lambda: chunks.packed(X.sentences("text", "stops"), 200), None, "packed_chunks")
-_chunk(lambda: chunks.packed(X.sentences("text", "stops"), 20, "words", over=True), None, "packed_word_chunks")
-_chunk(lambda: chunks.packed_then_cut(X.sentences("text", "stops")), None, "packed_cut_chunks")
-_chunk(lambda: chunks.split_overlapping(X.tokens("text", "blank"), 100, 20), None, "overlapping_chunks")
+
+
+def _packed_sql(size: str, new: str, pieces: str = "[cur]") -> str:
+    """Sentences packed one after the other; new: whether the next one (z: its size) begins a fragment, given the size n of this one."""
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, {SENT} AS s FROM documents),
+        r AS (SELECT doc_id, s, 1 AS i, 1 AS frag, s[1] AS cur, {size.format('s[1]')} AS n FROM s WHERE len(s) > 0 UNION ALL
+              SELECT doc_id, s, i + 1, frag + CAST({new} AS INTEGER), CASE WHEN {new} THEN x ELSE cur || ' ' || x END, CASE WHEN {new} THEN z ELSE n + z END
+              FROM (SELECT *, s[i + 1] AS x, {size.format('s[i + 1]')} AS z FROM r WHERE i < len(s))),
+        f AS (SELECT doc_id, frag, arg_max(cur, i) AS cur FROM r GROUP BY ALL), x AS (SELECT doc_id, flatten(list({pieces} ORDER BY frag)) AS c FROM f GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(c), 0) AS INTEGER) AS n, md5(coalesce(array_to_string(c, '|'), '')) AS digest FROM documents LEFT JOIN x USING (doc_id)"""
+
+
+def _packed(name: str, pieces, sql: str):
+    def run(spark, d):
+        return docs(spark, d).select("doc_id", *digest(pieces()))
+
+    query(sql, name)(run)
+
+
+_WINDOWED = "CASE WHEN length(cur) > 200 THEN list_transform(range(0, CAST(ceil((length(cur) - 200) / 100.0) AS BIGINT) + 1), lambda k: substr(cur, k * 100 + 1, 200)) ELSE [cur] END"
+_packed("packed_chunks", lambda: chunks.packed(X.sentences("text", "stops"), 200), _packed_sql("length({})", "(n + z > 200)"))
+_packed("packed_word_chunks", lambda: chunks.packed(X.sentences("text", "stops"), 20, "words", over=True), _packed_sql(r"len(regexp_extract_all({}, '[^ \t\n\x0B\f\r]+'))", "(n >= 20)"))
+_packed("packed_cut_chunks", lambda: chunks.packed_then_cut(X.sentences("text", "stops")), _packed_sql("length({})", "(n + z > 200)", _WINDOWED))
+_chunk(lambda: chunks.split_overlapping(X.tokens("text", "blank"), 100, 20), f"list_transform(range(0, CASE WHEN len({BLANK}) = 0 THEN 0 WHEN len({BLANK}) <= 100 THEN 1 ELSE CAST(ceil((len({BLANK}) - 100) / 80.0) AS BIGINT) + 1 END), lambda k: array_to_string({BLANK}[k * 80 + 1 : k * 80 + 100], ' '))", "overlapping_chunks")
 
 # ---------------------------------------------------------------- relational
 
@@ -428,9 +537,9 @@ def null_census(spark, d):
     return R.null_census(docs(spark, d))
 
 
-@query(None)
+@query("SELECT doc_id, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS part FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS h FROM documents)")
 def split_assign(spark, d):
-    return R.hash_split(docs(spark, d).select("doc_id"), "doc_id", {"train": 80, "val": 10, "test": 10})
+    return R.digest_split(docs(spark, d).select("doc_id"), "doc_id", {"train": 80, "val": 10, "test": 10})
 
 
 @query("WITH k AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT lang FROM documents)) SELECT doc_id, lang, CAST(code AS INTEGER) AS code FROM documents JOIN k USING (lang)")
@@ -521,15 +630,14 @@ def events_tumbling(spark, d):
 
 @query(None)
 def word2vec_documents(spark, d):
-    en = english(spark, d)
-    _, table = models.word_vectors(en, X.words("text"), dims=16, min_count=5)
-    tok = ngrams.annotation_table(en, X.sentences("text", "stops"), X.words)
+    _, table = models.word_vectors(docs(spark, d), X.words("text"), dims=16, min_count=5)
+    tok = ngrams.annotation_table(docs(spark, d), X.sentences("text", "stops"), X.words)
     return V.document_vectors(tok, table, 16, "known")
 
 
 @query(None)
 def similar_words(spark, d):
-    _, table = models.word_vectors(english(spark, d), X.words("text"), dims=16, min_count=5)
+    _, table = models.word_vectors(docs(spark, d), X.words("text"), dims=16, min_count=5)
     return V.similar_words(table, ["the"], ["of"], 10)
 
 
@@ -538,14 +646,82 @@ def lsh_neighbours(spark, d):
     return search.lsh_knn_join(t(spark, d, "embeddings"), _asked(spark, d), 10, id_col="vec_id")
 
 
-@query(f"""WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r, CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS total FROM c),
-    x AS (SELECT doc_id, total, max(n) FILTER (r = 1) / total AS x, max(n) FILTER (r = 2) / total AS y, max(n) FILTER (r = 3) / total AS z FROM r GROUP BY doc_id, total)
-    SELECT doc_id, round(2 * total * (x * log2(x / (x * z * y * z))), 6) AS score FROM x WHERE z IS NOT NULL""")
+@query(f"""WITH {TOK}, {TRI}, g AS (SELECT doc_id, max(f) AS f, sum(f) AS total FROM (SELECT doc_id, w1, w2, w3, count(*) AS f FROM tri GROUP BY ALL) GROUP BY doc_id),
+    r AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL)),
+    x AS (SELECT doc_id, CAST(total AS DOUBLE) AS t, f / t AS p, max(n) FILTER (r = 1) / t AS x, max(n) FILTER (r = 2) / t AS y, max(n) FILTER (r = 3) / t AS z FROM r JOIN g USING (doc_id) GROUP BY doc_id, total, f)
+    SELECT doc_id, round(2 * t * (p * log2(p / (x * z * y * z))), 6) AS score FROM x WHERE z IS NOT NULL""")
 def document_loglik_top(spark, d):
-    counts = ngrams.token_table(docs(spark, d)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    top = counts.groupBy("doc_id").agg(F.sum("n").cast("double").alias("total"), F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 3).alias("top"))
+    """Of each document's most frequent triple, against its three most frequent words; all as shares of its triples."""
+    grams = ngrams.triples(docs(spark, d), X.words("text")).groupBy("doc_id", *ngrams.TRIPLE).agg(F.count("*").alias("f"))
+    grams = grams.groupBy("doc_id").agg(F.max("f").cast("double").alias("f"), F.sum("f").cast("double").alias("total"))
+    counts = T.term_counts_in_rows(docs(spark, d), X.words("text"))
+    top = counts.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("tf"), asc=False), 1, 3).alias("top")).where("size(top) = 3").join(grams, "doc_id")
     x, y, z = (F.col("top")[k] / F.col("total") for k in range(3))
-    return top.where("size(top) = 3").select("doc_id", six(M.log_likelihood_top(F.col("total"), x, x, y, z)).alias("score"))
+    return top.select("doc_id", six(M.log_likelihood_top(F.col("total"), F.col("f") / F.col("total"), x, y, z)).alias("score"))
+
+
+_SENT_TOK = rf"""s AS (SELECT doc_id, unnest({SENT}) AS t, generate_subscripts({SENT}, 1) - 1 AS sent FROM documents),
+    st AS (SELECT doc_id, sent, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+')) AS token, generate_subscripts(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'), 1) AS pos FROM s)"""
+
+
+@query(f"WITH {_SENT_TOK}, tok AS (SELECT doc_id || '-' || sent AS doc_id, token, pos FROM st), {TRI} SELECT w1, w2, w3, count(*) AS f FROM tri GROUP BY ALL HAVING count(*) >= 2")
+def trigrams_in_sentences(spark, d):
+    sents = docs(spark, d).select("doc_id", F.explode(X.sentences("text", "stops")).alias("s"))
+    return ngrams.triple_counts(ngrams.triples(sents, X.words("s"))).where("f >= 2")
+
+
+@query(digest_sql(f"list_filter({SENT}, lambda x: NOT list_contains(['?', '!', '.', '...', '?!', '!?'], x))"))
+def sentences_with_words(spark, d):
+    return docs(spark, d).select("doc_id", *digest(X.without_bare_terminators(X.sentences("text", "stops"))))
+
+
+@query(f"""WITH {TOK}, {TRI}, {COUNTS}, x AS (SELECT w1, w2, w3, f.f, CAST(f.f AS DOUBLE) AS g, CAST(a.n AS DOUBLE) AS c1, CAST(b.n AS DOUBLE) AS c2, CAST(c.n AS DOUBLE) AS c3, CAST(z.n AS DOUBLE) AS n
+        FROM f JOIN u a ON a.token = w1 JOIN u b ON b.token = w2 JOIN u c ON c.token = w3, s z WHERE f.f >= 3)
+    SELECT w1, w2, w3, round(ln(g * n * n / sqrt(c1 * c2 * c3)), 6) AS own, round(log2(g * n * n) - log2(c1 * c2 * c3), 6) AS pmi, round((g - c1 * c2 * c3 / (n * n)) / sqrt(g + 1e-20), 6) AS student_t FROM x""")
+def score_maps(spark, d):
+    """Own mutual information and the library's two measures, each a table by triple, joined on it."""
+    counts = cuts.written(ngrams.triple_counts(ngrams.triples(docs(spark, d), X.words("text"))))
+    uni = cuts.written(ngrams.token_counts(ngrams.token_table(docs(spark, d))))
+    n = uni.agg(F.sum("n").alias("n"))
+    table = lambda name, measure: ngrams.scored(counts.where("f >= 3"), uni, n, M.MEASURES[measure], name).select(*ngrams.TRIPLE, six(name).alias(name))
+    return table("own", "mi_root").join(table("pmi", "pmi"), ngrams.TRIPLE).join(table("student_t", "student_t"), ngrams.TRIPLE)
+
+
+# document vectors from a given table: the 40 most frequent words get the first 8 places of the embeddings 0 to 39
+_PARTS = {
+    "mean": "q AS (SELECT doc_id, d, sum(x) AS x FROM k GROUP BY ALL), z AS (SELECT doc_id, count(*) AS n FROM st GROUP BY doc_id), o AS (SELECT doc_id, d, x / n AS x FROM q JOIN z USING (doc_id))",
+    "distinct": "o AS (SELECT doc_id, d, avg(x) AS x FROM (SELECT DISTINCT doc_id, token, d, x FROM k) GROUP BY ALL)",
+    "sentences": "z AS (SELECT doc_id, sent, count(*) AS n FROM st GROUP BY ALL), y AS (SELECT doc_id, count(*) AS m FROM z GROUP BY doc_id), q AS (SELECT doc_id, sent, d, sum(x) / n AS x FROM k JOIN z USING (doc_id, sent) GROUP BY doc_id, sent, d, n), o AS (SELECT doc_id, d, sum(x) / m AS x FROM q JOIN y USING (doc_id) GROUP BY doc_id, d, m)",
+    "known": "q AS (SELECT doc_id, sent, d, avg(x) AS x FROM k GROUP BY ALL), o AS (SELECT doc_id, d, avg(x) AS x FROM q GROUP BY ALL)",
+    "weighted": "tf AS (SELECT doc_id, token, count(*) AS tf FROM st GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), n AS (SELECT count(*) AS n FROM documents), wt AS (SELECT doc_id, token, tf * ln((n + 1.0) / (df + 1.0)) AS w FROM tf JOIN df USING (token), n), a AS (SELECT doc_id, sum(w) AS total FROM wt GROUP BY doc_id), y AS (SELECT doc_id, count(DISTINCT sent) AS m FROM st GROUP BY doc_id), o AS (SELECT doc_id, d, sum(x * w) / total / m AS x FROM k JOIN wt USING (doc_id, token) JOIN a USING (doc_id) JOIN y USING (doc_id) GROUP BY doc_id, d, total, m)",
+    "dims": "y AS (SELECT doc_id, count(DISTINCT sent) AS m FROM st GROUP BY doc_id), o AS (SELECT doc_id, d, sum(x) / 8 / m AS x FROM k JOIN y USING (doc_id) GROUP BY doc_id, d, m)",
+}
+for _how, _part in _PARTS.items():
+
+    def _vectors(spark, d, how=_how):
+        tok = cuts.written(ngrams.annotation_table(docs(spark, d), X.sentences("text", "stops"), X.words))
+        first = R.vocabulary(ngrams.token_counts(tok), 40).withColumn("vec_id", F.row_number().over(W.orderBy(F.desc("n"), "token")) - 1)  # 40 rows
+        table = first.join(t(spark, d, "embeddings"), "vec_id").select("token", F.slice(V.doubles("embedding"), 1, 8).alias("vector"))
+        weights = T.tf_idf(T.term_counts(tok), t(spark, d, "documents").select("doc_id")) if how == "weighted" else None
+        return V.document_vectors(tok, table, 8, how, weights).select("doc_id", F.posexplode("vector").alias("d", "x")).withColumn("x", six("x") + F.lit(0.0))
+
+    query(f"""WITH {_SENT_TOK}, v AS (SELECT token, embedding[1:8]::DOUBLE[] AS v FROM (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS vec_id FROM st GROUP BY token) JOIN embeddings USING (vec_id) WHERE vec_id < 40),
+        k AS (SELECT doc_id, sent, token, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM st JOIN v USING (token)), {_part}
+        SELECT doc_id, CAST(e.d AS INTEGER) AS d, round(coalesce(x, 0), 6) + 0.0 AS x FROM (SELECT DISTINCT doc_id FROM st) CROSS JOIN (SELECT unnest(range(0, 8)) AS d) e LEFT JOIN o USING (doc_id, d)""", f"document_vectors_{_how}")(_vectors)
+
+
+@query(None)
+def grid_search_svm(spark, d):
+    """Kernels as features, by strength of regularization, judged on held-out rows of the training part."""
+    rows = R.hash_split(t(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("label"), F.slice(V.doubles("embedding"), 1, 16).alias("embedding")), "vec_id", {"train": 80, "test": 20})
+    kernels = {"linear": lambda v: v, "rbf": lambda v: models.fourier_features(v, 16, 32), "poly": models.polynomial_features}
+
+    def estimate(train, test, kernel, reg):
+        wide = lambda df: df.withColumn("embedding", kernels[kernel](F.col("embedding")))
+        return models.linear_svm(wide(train), wide(test), "embedding", scheme="ovo", max_iter=5, reg=reg)
+
+    found = models.grid_search(rows.where("part = 'train'"), "vec_id", estimate, {"kernel": list(kernels), "reg": [0.01, 1.0]}, metrics.macro)
+    return models.ranked_models(found, "f1").select("place", "model", "f1")
 
 
 @query(None)

@@ -94,3 +94,22 @@ def labels_of(files: DataFrame, level: int = -2) -> DataFrame:
 
 def latin1(content: Column | str) -> Column:
     return F.decode(content, "ISO-8859-1")
+
+
+#: Bytes up to which a Parquet table is dealt out anew: so small a one has few row groups, which would keep few cores busy.
+SMALL_TABLE = 32 << 20
+
+
+def dealt_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a small one in as many parts as there are cores, any other as its row groups lie."""
+    rows = spark.read.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE else rows
+
+
+def saved_model(spark: SparkSession, path: str):
+    """A fitted model of any of Spark's kinds, as ``sinks`` saved it."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(path, spark)
