@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.readers import dealt_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows in one Arrow batch: with texts of a few kB a batch is some MB, with the longest ones some tens of MB.
@@ -101,7 +103,7 @@ def ascii_lower(column):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def parallelism(spark: SparkSession) -> int:
