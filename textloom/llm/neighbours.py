@@ -5,8 +5,11 @@ are projected on M random normal directions; a projected squared distance is the
 of M degrees. Projected neighbours are verified in growing order until the next one lies beyond the chi-square quantile
 times the k-th best true distance: a closer vector is then missed with probability below 1 - SURE.
 
-The upper levels of the kd-tree are fitted on a bounded sample and deal all vectors into cells; the rows of a cell are
-dealt to blocks of about BLOCK rows (equal vectors never fill one block), and each block has a kd-tree of its own.
+The upper levels of the kd-tree are fitted on a bounded sample and deal all vectors into cells, as many as BLOCK rows each
+and the sample allow; the rows of a cell are dealt to blocks of about BLOCK rows (rows of equal vectors or ids to any of
+them), and each block has a kd-tree of its own. A query first looks at a block of its own cell, and then at the blocks of
+all cells that the stopping test doesn't exclude. Only those go to the block: a block is copied once for every QUERIES
+queries that look at it, not for every group of all queries.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import small_batches, table, written
+from .common import bounded, discard, small_batches, table, written
 
 M, SURE = 8, 0.985
-BLOCK, QUERIES, LEAF = 4096, 4096, 64
-#: Vectors that the upper levels are fitted on, and cells at most; all vectors are indexed.
-SAMPLE, CELLS = 20_000, 1024
+BLOCK, QUERIES, LEAF = 2048, 4096, 64
+#: Vectors, about, that the upper levels are fitted on, and of these in a cell at least; all vectors are indexed.
+SAMPLE, IN_CELL = 1 << 18, 16
 
 
 def chi_square_quantile(p: float = SURE, degrees: int = M) -> float:
@@ -73,20 +76,27 @@ class Cells:
             node = 2 * node + (points[np.arange(len(points)), self.axis[node]] >= self.cut[node])
         return node - (1 << self.levels)
 
-    def distances(self, points: np.ndarray) -> np.ndarray:
-        """Squared distance from each point to each cell."""
-        n = 1 << self.levels
-        low, high = np.full((2 * n, M), -np.inf), np.full((2 * n, M), np.inf)
-        for node in range(1, n):
-            for child in (2 * node, 2 * node + 1):
-                low[child], high[child] = low[node], high[node]
-            high[2 * node, self.axis[node]] = min(high[node, self.axis[node]], self.cut[node])
-            low[2 * node + 1, self.axis[node]] = max(low[node, self.axis[node]], self.cut[node])
-        out = np.empty((len(points), n))
-        for c in range(n):
-            gap = np.maximum(0, np.maximum(low[n + c] - points, points - high[n + c]))
-            out[:, c] = (gap * gap).sum(1)
-        return out
+    def reached(self, points: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) pairs of the cells whose squared distance from a point is within its limit; walks only where some point goes."""
+        who, where = [], []
+
+        def walk(node: int, at: np.ndarray, gaps: np.ndarray) -> None:
+            if not len(at):
+                return
+            if node >= 1 << self.levels:
+                who.append(at)
+                where.append(np.full(len(at), node - (1 << self.levels)))
+                return
+            axis = self.axis[node]
+            over = points[at, axis] - self.cut[node]  # at or above zero: the point lies on the high side
+            for child, gap in ((2 * node, np.maximum(over, 0)), (2 * node + 1, np.maximum(-over, 0))):
+                there = gaps.copy()
+                there[:, axis] = np.maximum(there[:, axis], gap)
+                stay = (there * there).sum(1) <= limits[at]
+                walk(child, at[stay], there[stay])
+
+        walk(1, np.arange(len(points)), np.zeros(points.shape))
+        return (np.concatenate(who), np.concatenate(where)) if who else (np.zeros(0, int), np.zeros(0, int))
 
 
 class Block:
@@ -168,57 +178,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    every = written(usable(vectors), "ann-vectors")
+    every = every_ = written(usable(vectors), "ann-vectors")
     shape = every.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
     if not shape:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n, norm2 = shape[0]
     every = every.where(F.size("v") == dims)
     projection = Projection(dims, norm2)
-    levels = min(int(np.log2(CELLS)), max(0, int(np.ceil(np.log2(n / BLOCK)))))
-    sample = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()]).reshape(-1, dims)
-    cells = Cells(projection.rows(sample), levels)
-    beyond = chi_square_quantile()
 
     def matrix(column) -> np.ndarray:
-        return column.combine_chunks().values.to_numpy().reshape(-1, dims) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy().reshape(-1, dims)
+        return column.flatten().to_numpy().reshape(-1, dims)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(projection.rows(matrix(b.column(0)))), pa.list_(pa.float64()))], names=["p"])
+
+    drawn = every.where(F.rand(11) < SAMPLE / n).select("v")
+    sample = np.array([r["p"] for r in drawn.mapInArrow(projected, "p array<double>").collect()]).reshape(-1, M)  # 64 bytes each
+    sample = sample[np.lexsort(sample.T)]
+    levels = max(0, min(int(np.ceil(np.log2(n / BLOCK))), int(np.log2(max(1, len(sample) / IN_CELL)))))
+    cells = Cells(sample, levels)
+    beyond = chi_square_quantile()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell = cells.of(projection.rows(matrix(b.column(1)))) if b.num_rows else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], names=["vec_id", "v", "cell"])
 
-    dealt = written(every.mapInArrow(deal, "vec_id long, v array<double>, cell int"), "ann-cells")
-    parts = {r["cell"]: -(-r["count"] // BLOCK) for r in dealt.groupBy("cell").count().collect()}  # at most CELLS rows
+    dealt = written(every.mapInArrow(deal, "vec_id long, v array<double>, cell int").withColumn("salt", F.floor(F.rand(7) * (1 << 30)).cast("int")), "ann-cells")
+    parts = {r["cell"]: -(-r["count"] // BLOCK) for r in dealt.groupBy("cell").count().collect()}  # at most 2 * SAMPLE / IN_CELL rows
     blocks = spark.createDataFrame(sorted(parts.items()), "cell int, parts long")
-    index = dealt.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    index = dealt.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod("salt", F.col("parts")).cast("int")).drop("parts", "salt")
+    discard(every_)
 
     asked = written(usable(queries, dims).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id"), "ann-queries")
-    n_queries = asked.count()
-    groups = max(1, -(-n_queries // QUERIES))
     found = "query_id long, vec_id long, score double"
-    plan = "query_id long, v array<double>, bound double, cell int, part int, grp int"
 
     def visit(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    c = b.slice(at, 256)
-                    q = matrix(c.column(1))
-                    p = projection.queries(q)
-                    ids, bound = c.column(0).to_numpy(), (np.full(len(q), np.inf) if first else c.column(2).to_numpy(zero_copy_only=False))
-                    home = cells.of(p)
-                    gap = None if first else cells.distances(p)
-                    rows = []
-                    for i in range(len(q)):
-                        goals = [home[i]] if first else [g for g in np.flatnonzero(gap[i] <= beyond * bound[i])]
-                        for g in goals:
-                            rows += [(i, int(g), part) for part in range(1 if first else parts.get(int(g), 0))]
-                    pick = np.array([r[0] for r in rows], int)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[pick]), c.column(1).take(pa.array(pick)), pa.array(bound[pick]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array((ids[pick].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % groups, pa.int64()).cast(pa.int32())],
-                        names=["query_id", "v", "bound", "cell", "part", "grp"],
-                    )
+                p = projection.queries(matrix(b.column(1)))
+                bound = np.full(len(p), np.inf) if first else b.column(2).to_numpy(zero_copy_only=False)
+                who, cell = (np.arange(len(p)), cells.of(p)) if first else cells.reached(p, beyond * bound)
+                many = np.ones(len(cell), int) if first else np.array([parts.get(c, 0) for c in cell.tolist()], int)
+                pick = np.repeat(np.arange(len(cell)), many)
+                part = np.arange(len(pick)) - np.repeat(np.cumsum(many) - many, many)
+                ids = b.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who[pick]]), pa.array(bound[who[pick]]), pa.array(cell[pick].astype(np.int32)), pa.array(part.astype(np.int32))], names=["query_id", "bound", "cell", "part"])
 
         return run
 
@@ -236,18 +242,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     keys = ["cell", "part", "grp"]
-    spread = index.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
-    def searched(planned: DataFrame, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).cogroup(planned.groupBy(*keys)).applyInPandas(answer, found)
+    def searched(rows: DataFrame, first: bool) -> DataFrame:
+        plan = written(rows.mapInArrow(visit(first), "query_id long, bound double, cell int, part int"), "ann-plan")
+        groups = bounded(written(plan.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).alias("groups")), "ann-groups"))  # a row a block
+        planned = plan.join(groups, ["cell", "part"]).withColumn("grp", F.pmod(F.xxhash64("query_id"), F.col("groups"))).drop("groups")
+        planned = planned.join(asked.select("query_id", "v"), "query_id")
+        copied = index.join(groups, ["cell", "part"]).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        return copied.groupBy(*keys).cogroup(planned.groupBy(*keys)).applyInPandas(answer, found)
 
     # each query's own cell first: the k-th distance there bounds the search of the others
-    first = asked.select("query_id", "v").mapInArrow(visit(True), plan)
-    homes = searched(first, spread.where("part = 0"))
+    homes = searched(asked.select("query_id", "v"), True)
     bounds = homes.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
     length2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    bounded = asked.join(bounds, "query_id", "left").select("query_id", "v", F.when(F.col("least").isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), F.lit(norm2) + length2 - 2 * F.col("least")) + 1e-9).alias("bound"))
-    second = searched(written(bounded, "ann-bounds").mapInArrow(visit(False), plan), spread)
+    limited = asked.join(bounds, "query_id", "left").select("query_id", "v", F.when(F.col("least").isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), F.lit(norm2) + length2 - 2 * F.col("least")) + 1e-9).alias("bound"))
+    second = searched(written(limited, "ann-bounds"), False)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return second.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
