@@ -37,3 +37,14 @@ def _delete_written() -> None:
 
 
 atexit.register(_delete_written)
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        written(spark.range(1))
+        folder = spark.conf.get("spark.checkpoint.dir")
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
