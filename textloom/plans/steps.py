@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import chunks, metrics, ngrams, relational as R, search, vectors as V, weights as T
+from ..operators import chunks, metrics, ngrams, qa, relational as R, search, vectors as V, weights as T
 from ..sources import readers, sinks
 from . import cuts
 from .catalog import _E, _OUT, _PRED, _PRF, _SENT_TOK, SENT, TOK, _asked, _knn_sql, _predicted, _rounded, docs, query, six, t
@@ -178,6 +178,17 @@ def fragment_table(spark, d):
     return rows.select("fragment_id", "doc_id", "fragment_no", F.md5("fragment").alias("digest"), "lang")
 
 
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS INTEGER) AS n FROM conversations")
+def numbered_turns(spark, d):
+    return qa.numbered_turns(t(spark, d, "conversations")).select("conv_id", "turn", "role", "n")
+
+
+@query(f"WITH {TOK}, r AS (SELECT doc_id, token AS term, count(*) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, token) AS rank FROM tok GROUP BY doc_id, token) SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, weight FROM r WHERE rank <= 5")
+def top_terms(spark, d):
+    counts = T.term_counts_in_rows(docs(spark, d), X.words("text")).select("doc_id", "term", F.col("tf").alias("weight"))
+    return T.ranked_in_document(counts, 5).select("doc_id", "rank", "term", "weight")
+
+
 # ---------------------------------------------------------------- vectors and searches
 
 _LEN = "sqrt(list_sum([x * x for x in {}]))"
@@ -185,13 +196,13 @@ _LEN = "sqrt(list_sum([x * x for x in {}]))"
 
 @query(f"""WITH {_E}, p AS (SELECT a.vec_id, a.e AS x, b.e AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
     SELECT vec_id, round(1 - list_cosine_similarity(x, y), 6) AS cosine, round(1 - abs(list_cosine_similarity(x, y)), 6) AS abs_cosine, round(1 - list_inner_product(x, y), 6) AS ip, round(power(list_distance(x, y), 2), 6) AS l2,
-    round(list_sum(x) / {_LEN.format('x')}, 6) AS unit_total, round(list_sum(x[9:]), 6) AS tail FROM p""")
+    round(list_sum(x) / {_LEN.format('x')}, 6) AS unit_total, round(list_sum(x[9:]), 6) AS tail, round(list_sum([sqrt(abs(v)) for v in x]), 6) AS roots FROM p""")
 def vector_distances(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", V.doubles("embedding").alias("x"))
     x, y = F.col("x"), F.col("y")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), x.alias("y")), "vec_id")
-    return pairs.select("vec_id", *[six(V.distance(x, y, s)).alias(s) for s in ("cosine", "abs_cosine", "ip", "l2")], six(total(V.normalized(x))).alias("unit_total"), six(total(V.zeroed(x, 8))).alias("tail"))
+    return pairs.select("vec_id", *[six(V.distance(x, y, s)).alias(s) for s in ("cosine", "abs_cosine", "ip", "l2")], six(total(V.normalized(x))).alias("unit_total"), six(total(V.zeroed(x, 8))).alias("tail"), six(total(F.transform(x, V.root_abs))).alias("roots"))
 
 
 _TEXTS = "JOIN documents ON doc_id = c.vec_id"
