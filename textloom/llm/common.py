@@ -124,3 +124,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with its columns named by number, as functions on Arrow batches take no names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])

@@ -1,16 +1,16 @@
 """Repeated byte strings across a corpus, by distributed prefix doubling.
 
-A string of ``length`` bytes repeats if it starts at two places. Places first get the rank of their next quarter of
+A string of ``length`` bytes repeats if it starts at two places. Places first get the rank of their next 3/8 of
 ``length`` bytes, a 64-bit content hash: the only hash there is. From then on ranks are doubled: the rank at a place and
 the rank one offset on form a pair, Spark sorts all pairs, places of a unique pair leave, and equal pairs get one new
-rank, at offsets of a quarter and then of a half. Two strings so count as equal if four 64-bit ranks are, 256 bits.
+rank; the offsets are 3/8 and then 1/4 of the length. Two strings so count as equal if four 64-bit ranks are, 256 bits.
 
 Doubling all places of a corpus would sort every byte of it several times, so only those are doubled that can matter:
 
-1. Of every run of ``length`` bytes the place with the smallest quarter rank inside it is its sample (leftmost among
-   equals). Equal runs have equal samples at equal distances, so a run whose sample is unique is unique.
-2. The three whole quarters around a sample that every run of one class (the distance to the sample, in quarters)
-   holds are doubled. Runs leave if these bytes are unique.
+1. Of every run of ``length`` bytes the place with the smallest rank inside it is its sample (leftmost among equals).
+   Equal runs have equal samples at equal distances, so a run whose sample is unique is unique.
+2. The 3/4 of its bytes around a sample that every run of one class (the distance to the sample, in quarters) holds are
+   a pair of ranks. Runs leave if these bytes are unique.
 3. Neighbouring runs that share a sample form a stretch. If the bytes under a stretch stand elsewhere too, all its runs
    repeat. Stretches unlike all others, and one copy of each that they could share runs with, are cut into pieces of
    ``length / 16`` starts, which are compared likewise: by the bytes that all runs of the piece hold, then whole.
@@ -20,15 +20,14 @@ Doubling all places of a corpus would sort every byte of it several times, so on
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded, discard, parallelism, release, small_batches, table, written
+from .common import bounded, columns, discard, numbered, parallelism, release, small_batches, table, unused, written
 
 LENGTH = 400
 #: Repeated passages besides: so many bytes, and so many words where these take fewer bytes.
@@ -92,13 +91,13 @@ def steps(ascending: np.ndarray) -> np.ndarray:
     return ascending[np.concatenate([[True], ascending[1:] != ascending[:-1]])]
 
 
-def cover(ranks: np.ndarray, lo: np.ndarray, size: np.ndarray, base: int) -> pa.ListArray:
-    """For each lo the quarter ranks that cover the next ``size`` bytes, the last one flush with their end."""
+def cover(ranks: np.ndarray, lo: np.ndarray, size: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each lo the ranks that cover the next ``size`` bytes, the last one flush with their end; and how many they are."""
     n = -(-size // base)
     ends = np.cumsum(n)
     step = np.arange(ends[-1]) - np.repeat(ends - n, n)
     at = np.repeat(lo, n) + np.minimum(step * base, np.repeat(size, n) - base)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), _signed(ranks[at]))
+    return ranks[at], n
 
 
 def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -116,7 +115,7 @@ def _numbers(column: pa.Array, row: int) -> np.ndarray:
 
 def sample_rows(docs: DataFrame, length: int) -> DataFrame:
     """(rank, key, own) for the samples of each text (key, text): its distinct ranks, and whether one stands at two places of it."""
-    base = length // 4
+    base = length * 3 // 8
     schema = pa.schema([("rank", pa.int64()), ("key", pa.int64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,46 +135,76 @@ def sample_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _heads(ranks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each run its sample, and the first of the three whole quarters that all runs of its class hold."""
-    base = length // 4
-    sample = sampled(ranks, length - base + 1)
-    return sample, sample - (sample - np.arange(len(sample))) // base * base
+    """For each run its sample, and the first of the bytes that all runs of its class hold."""
+    sample = sampled(ranks, length - length * 3 // 8 + 1)
+    return sample, sample - (sample - np.arange(len(sample))) // (length // 4) * (length // 4)
 
 
-def _pairs(ranks: np.ndarray, at: np.ndarray, second: int, base: int, key: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of quarter ranks one offset apart, at each place (part 0) and ``second`` bytes on (part 1)."""
-    for a in range(0, len(at), FLUSH):
-        x = at[a : a + FLUSH]
-        both = np.concatenate([x, x + second])
-        yield pa.RecordBatch.from_arrays([_signed(ranks[both]), _signed(ranks[both + base]), pa.array(np.full(len(both), key, np.int64)), pa.array(np.tile(x, 2).astype(np.int32)), pa.array(np.repeat(np.array([0, 1], np.int32), len(x)))], schema=_PAIR)
+def _pairs(ranks: np.ndarray, at: np.ndarray, offsets: list[int], base: int, key: int) -> tuple:
+    """Columns of pairs of ranks one offset apart, from some bytes after each place on (part 0, 1 and so on)."""
+    every = np.concatenate([at + o for o in offsets])
+    return ranks[every].view(np.int64), ranks[every + base].view(np.int64), np.full(len(every), key, np.int64), np.tile(at, len(offsets)).astype(np.int32), np.repeat(np.arange(len(offsets), dtype=np.int32), len(at))
+
+
+def _gathered(columns_: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of many texts' columns; a list column comes as its values and their counts."""
+    held, rows = [], 0
+
+    def batch() -> pa.RecordBatch:
+        parts, out = iter([np.concatenate(c) for c in zip(*held)]), []
+        for field in schema:
+            values = next(parts)
+            if pa.types.is_list(field.type):
+                ends = np.concatenate([[0], np.cumsum(next(parts))]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+            else:
+                out.append(pa.array(values))
+        return pa.RecordBatch.from_arrays(out, schema=schema)
+
+    for c in columns_:
+        held.append(c)
+        rows += len(c[-1])
+        if rows >= FLUSH:
+            yield batch()
+            held, rows = [], 0
+    if held:
+        yield batch()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, text, lists...) of each row, lists as numpy arrays."""
+    for batch in batches:
+        for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            yield key, text, *(batch.column(c)[k].values.to_numpy() for c in range(2, batch.num_columns))
 
 
 def class_pairs(docs: DataFrame, length: int) -> DataFrame:
-    """Pairs for the three quarters of every class of runs whose sample repeats; docs: (key, text, ranks), the repeated samples' ranks."""
-    base = length // 4
+    """A pair for every class of runs whose sample repeats; docs: (key, text, ranks), the repeated samples' ranks."""
+    base = length * 3 // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Ranks(base)
-        for batch in batches:
-            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+
+        def columns_() -> Iterator[tuple]:
+            for key, text, repeated in _rows(batches):
                 r = hashes.of(text)
                 sample, head = _heads(r, length)
                 here, again = steps(sample), np.zeros(len(r), bool)
-                again[here] = np.isin(r[here], batch.column(2)[k].values.to_numpy().view(np.uint64))
-                yield from _pairs(r, np.unique(head[again[sample]]), base, base, key)
+                again[here] = np.isin(r[here], repeated.view(np.uint64))
+                yield _pairs(r, np.unique(head[again[sample]]), [0], base, key)
+
+        yield from _gathered(columns_(), _PAIR)
 
     return docs.mapInArrow(run, PAIR)
 
 
 def start_pairs(docs: DataFrame, length: int) -> DataFrame:
-    """Pairs for the four quarters from single starts; docs: (key, text, los, ns), the last two of ranges of starts."""
-    base = length // 4
+    """Two pairs for each of single starts, a quarter apart, which cover its run; docs: (key, text, los, ns), the last two of ranges of starts."""
+    base = length * 3 // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Ranks(base)
-        for batch in batches:
-            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                yield from _pairs(hashes.of(text), spread(_numbers(batch.column(2), k), _numbers(batch.column(3), k)), 2 * base, base, key)
+        yield from _gathered((_pairs(hashes.of(text), spread(lo.astype(np.int64), n.astype(np.int64)), [0, length // 4], base, key) for key, text, lo, n in _rows(batches)), _PAIR)
 
     return docs.mapInArrow(run, PAIR)
 
@@ -188,25 +217,27 @@ def stretches(docs: DataFrame, length: int, grain: int = 0) -> DataFrame:
     (key, text, los, ns): their starts cut where the distance to the sample reaches a multiple of ``grain``, whose core
     are the bytes that each run of such a piece holds.
     """
-    base = length // 4
+    base = length * 3 // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Ranks(base)
-        for batch in batches:
-            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+
+        def columns_() -> Iterator[tuple]:
+            for key, text, *lists in _rows(batches):
                 r = hashes.of(text)
                 sample, head = _heads(r, length)
-                at = spread(_numbers(batch.column(2), k), _numbers(batch.column(3), k)) if grain else np.flatnonzero(np.isin(head, _numbers(batch.column(2), k)))
+                at = np.sort(spread(*(x.astype(np.int64) for x in lists))) if grain else np.flatnonzero(np.isin(head, lists[0].astype(np.int64)))
                 if not len(at):
                     continue
-                at = np.sort(at)
                 sample = sample[at]
                 piece = (sample - at) // grain if grain else sample
                 first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (sample[1:] != sample[:-1]) | (piece[1:] != piece[:-1])]))
                 n, lo = np.diff(np.append(first, len(at))), at[first]
-                core = cover(r, sample[first] - piece[first] * grain, np.full(len(lo), length - grain + 1), base) if grain else cover(r, sample[first], np.full(len(lo), base), base)
+                core = cover(r, sample[first] - piece[first] * grain, np.full(len(lo), length - grain + 1), base) if grain else (r[sample[first]], np.ones(len(lo), np.int64))
                 whole = cover(r, lo, n - 1 + length, base)
-                yield pa.RecordBatch.from_arrays([core, whole, pa.array(n.astype(np.int32)), pa.array(np.full(len(lo), key, np.int64)), pa.array(lo.astype(np.int32))], schema=_STRETCH)
+                yield core[0].view(np.int64), core[1], whole[0].view(np.int64), whole[1], n.astype(np.int32), np.full(len(lo), key, np.int64), lo.astype(np.int32)
+
+        yield from _gathered(columns_(), _STRETCH)
 
     return docs.mapInArrow(run, STRETCH)
 
@@ -218,6 +249,7 @@ def reranked(pairs: DataFrame) -> DataFrame:
     Each task numbers the pairs it holds. Only its first and its last pair can go on in another task: these (two a task
     at most) are brought together after, and share the least of their numbers.
     """
+    pairs = pairs if hasattr(pairs, "scratch_path") else written(pairs, "repeats-unsorted")  # it is read twice, for the bounds of the ranges too
     ordered = pairs.repartitionByRange(parallelism(pairs.sparkSession), "near", "far", "key", "at", "part").sortWithinPartitions("near", "far")
     schema = pa.schema([("rank", pa.int64()), ("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("part", pa.int32())])
 
@@ -261,19 +293,19 @@ def reranked(pairs: DataFrame) -> DataFrame:
     sizes = out.join(of_edge, "rank").groupBy("n2", "f2").agg(F.count("*").alias("c"), F.min("rank").alias("to"))
     shared = F.broadcast(edges.join(sizes.withColumnsRenamed({"n2": "near", "f2": "far"}), ["near", "far"]).select("rank", "to", "c"))
     ranks = written(out.join(shared, "rank", "left").where("c IS NULL OR c > 1").select(F.coalesce("to", "rank").alias("rank"), "key", "at", "part"), "repeats-ranks")
-    discard(out, edges)
+    discard(out, edges, pairs)
     release(ranks.sparkSession)
     return ranks
 
 
-def repeated_places(quarters: DataFrame) -> DataFrame:
-    """(key, at) of the places whose two pairs of quarter ranks, doubled, stand at another place too."""
-    halves = reranked(quarters)
+def repeated_starts(pairs: DataFrame) -> DataFrame:
+    """(key, at) of the starts whose two parts' ranks, doubled, stand at another start too."""
+    halves = reranked(pairs)
     part = lambda k: F.max(F.when(F.col("part") == k, F.col("rank")))
-    pairs = halves.groupBy("key", "at").agg(part(0).alias("near"), part(1).alias("far")).where("near IS NOT NULL AND far IS NOT NULL")
-    places = reranked(pairs.select("near", "far", "key", "at", F.lit(0).alias("part")))
+    both = halves.groupBy("key", "at").agg(part(0).alias("near"), part(1).alias("far")).where("near IS NOT NULL AND far IS NOT NULL")
+    starts = reranked(both.select("near", "far", "key", "at", F.lit(0).alias("part")))
     discard(halves)
-    return places
+    return starts.select("key", "at")
 
 
 def alike_and_open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -310,81 +342,109 @@ def cut_runs(data: bytes, runs: list[tuple[int, int]], whole_characters: bool =
     return b"".join([*kept, data[at:]]), cut
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
-    """Distinct texts that lose bytes: (digest, n_removed, n_spans, kept, spans); digest is the text's SHA-256 in hex.
-
-    docs: (doc_id, text); ``length`` is a multiple of 16. A byte goes if a string of ``length`` bytes over it also starts
-    anywhere else in the documents, the same one included; all copies lose it. Matches never cross documents. Equal texts
-    are compared once: such a text of at least ``length`` bytes goes whole. ``kept`` holds the remaining bytes. Null and
-    empty texts, and those shorter than ``length``, lose nothing; ids may be null or repeated (a row counts as a document
-    of its own); texts of any length are taken whole; an empty table gives an empty table; other columns are left out.
-    """
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(digest, spans) of the distinct texts that lose bytes: the maximal runs [a, b) covered by strings of ``length`` bytes
+    that also start elsewhere; digest is the SHA-256 of the text, in binary. Rules as for ``repeated_runs``."""
     if length % 16:
         raise ValueError(f"not a multiple of 16: {length}")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    texts = texts.select("text", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("key"))
-    copies = texts.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes")).where("n > 1")
+    texts = texts.select("text", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("hash"))
+    copies = texts.select("digest", F.octet_length("text").cast("long").alias("bytes")).groupBy("digest").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")).where("n > 1")
     copies = written(copies, "repeats-copies")
+    copied = bounded(copies.select("digest"))
 
-    samples = written(sample_rows(texts.select("key", "text"), length), "repeats-samples")
+    samples = written(sample_rows(texts.select("hash", "text"), length), "repeats-samples")
     shared = written(samples.groupBy("rank").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("own").alias("own")).where("a < b OR own").select("rank"), "repeats-shared")
-    mine = written(samples.join(shared, "rank").groupBy("key").agg(F.collect_set("rank").alias("ranks")), "repeats-ranks")
+    mine = written(samples.join(shared, "rank").groupBy(F.col("key").alias("hash")).agg(F.collect_set("rank").alias("ranks")), "repeats-ranks")
     discard(samples, shared)
-    chosen = texts.join(bounded(mine.select("key")), "key", "left_semi").dropDuplicates(["digest"])
-    chosen = written(chosen.withColumnRenamed("key", "hash").withColumn("key", F.monotonically_increasing_id()), "repeats-chosen")
+    found = texts.join(bounded(mine.select("hash")), "hash", "left_semi")
+    # only copies are brought together to leave one of each
+    chosen = found.join(copied, "digest", "left_anti").unionByName(found.join(copied, "digest", "left_semi").dropDuplicates(["digest"]))
+    chosen = written(chosen.withColumn("key", F.monotonically_increasing_id()), "repeats-chosen")
     release(spark)
 
-    def lists(rows: DataFrame) -> DataFrame:
-        both = rows.groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s")).select("key", F.col("s.lo").alias("los"), F.col("s.n").alias("ns"))
-        return chosen.join(both, "key")
+    def ranges(rows: DataFrame) -> DataFrame:
+        both = rows.groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("s"))
+        return written(both.select("key", F.col("s.lo").alias("los"), F.col("s.n").alias("ns")), "repeats-ranges")
 
-    open_ = repeated_places(class_pairs(chosen.join(mine.withColumnRenamed("key", "hash"), "hash").select("key", "text", "ranks"), length))
-    heads = open_.groupBy("key").agg(F.collect_list("at").alias("heads"))
-    whole = written(stretches(chosen.join(heads, "key").select("key", "text", "heads"), length), "repeats-stretches")
-    discard(mine, open_)
+    of_classes = reranked(class_pairs(chosen.join(bounded(mine), "hash").select("key", "text", "ranks"), length))
+    heads = written(of_classes.groupBy("key").agg(F.collect_set("at").alias("heads")), "repeats-heads")
+    discard(mine, of_classes)
+    whole = written(stretches(chosen.join(bounded(heads), "key").select("key", "text", "heads"), length), "repeats-stretches")
     alike, lone = alike_and_open(whole)
-    pieces = written(stretches(lists(lone).select("key", "text", "los", "ns"), length, length // 16), "repeats-pieces")
-    discard(whole)
+    pieces = written(stretches(chosen.join(bounded(ranges(lone)), "key").select("key", "text", "los", "ns"), length, length // 16), "repeats-pieces")
+    discard(whole, heads)
     release(spark)
-    alike_pieces, lone = alike_and_open(pieces)
+    alike_pieces, lone_pieces = alike_and_open(pieces)
     discard(pieces)
-    single = repeated_places(start_pairs(lists(lone).select("key", "text", "los", "ns"), length)).select("key", F.col("at").alias("lo"), F.lit(1).alias("n"))
-    found = lists(alike.union(alike_pieces).union(single)).join(copies, "digest", "left_anti").select("digest", "text", "los", "ns")
-    schema = pa.schema([("digest", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
+    single = repeated_starts(start_pairs(chosen.join(bounded(ranges(lone_pieces)), "key").select("key", "text", "los", "ns"), length))
+    starts = ranges(alike.union(alike_pieces).union(single.select("key", F.col("at").alias("lo"), F.lit(1).alias("n"))))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[[a, b] for a, b in covered_runs(_numbers(batch.column(1), k), _numbers(batch.column(2), k), length)] for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=["key", "spans"])
+
+    spans = starts.mapInArrow(merge, "key long, spans array<array<bigint>>")
+    spans = chosen.select("key", "digest").join(spans, "key").select("digest", "spans").join(copied, "digest", "left_anti")
+    out = written(spans.union(copies.select("digest", F.array(F.array(F.lit(0).cast("long"), "bytes")))), "repeats-spans")
+    discard(chosen, alike, alike_pieces, lone, lone_pieces, starts)
+    release(spark)
+    return out
+
+
+RUNS = "digest string, n_removed long, n_spans long, kept binary, spans array<array<bigint>>"
+_RUNS = pa.schema([("digest", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
+
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+    """Distinct texts that lose bytes: (digest, n_removed, n_spans, kept, spans); digest is the text's SHA-256 in hex.
+
+    docs: (doc_id, text); ``length`` is a multiple of 16. A byte goes if a string of ``length`` bytes over it also starts
+    anywhere else in the documents, the same one included; all copies lose it. Matches never cross documents. Equal texts
+    are compared once: such a text of at least ``length`` bytes goes whole. ``kept`` holds the remaining bytes. Null and
+    empty texts, and those shorter than ``length``, lose nothing; ids may be null or repeated (a row counts as a document
+    of its own); texts of any length are taken whole; an empty table gives an empty table; other columns are left out.
+    """
+    spans = repeated_spans(docs, length)
+    texts = docs.where(F.octet_length("text") >= length).select("text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    found = texts.join(bounded(spans), "digest").dropDuplicates(["digest"]).select(F.lower(F.hex("digest")).alias("digest"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, (digest, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for digest, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
-                kept, cut = cut_runs(data, covered_runs(_numbers(batch.column(2), k), _numbers(batch.column(3), k), length), whole_characters)
+                kept, cut = cut_runs(data, runs, whole_characters)
                 out.append((digest, len(data) - len(kept), len(cut), kept, [[a, b] for a, b in cut]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RUNS)] if out else [pa.array([], f.type) for f in _RUNS], schema=_RUNS)
 
-    copied = copies.select("digest", F.col("bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.array(F.array(F.lit(0).cast("long"), "bytes")).alias("spans"))
-    return found.mapInArrow(run, "digest string, n_removed long, n_spans long, kept binary, spans array<array<bigint>>").union(copied)
+    return found.mapInArrow(run, RUNS)
+
+
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\f\v", np.uint8))
 
 
 def word_windows(data: bytes, words: int, below: int) -> list[tuple[int, int]]:
     """Byte ranges of all runs of ``words`` words that take fewer than ``below`` bytes."""
-    at = [(m.start(), m.end()) for m in re.finditer(rb"\S+", data)]
-    return [(a, b) for (a, _), (_, b) in zip(at, at[words - 1 :]) if b - a < below]
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)], [True]])
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    first, last = starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
+    short = last - first < below
+    return list(zip(first[short].tolist(), last[short].tolist()))
 
 
-def repeated_passages(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS, runs: DataFrame | None = None) -> DataFrame:
-    """(digest, kept) of the distinct texts that lose bytes to passages of ``length`` bytes or of ``words`` words.
+def passage_spans(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(digest, spans, short) of the distinct texts that lose bytes to repeated passages, and the first two of ``repeated_spans`` alone.
 
-    The first are those of ``repeated_runs`` (``runs``, if they are at hand), characters kept whole. A passage of
-    ``words`` words with fewer bytes holds no such run, so these windows (few in prose) are compared by content hash,
-    over all documents (doc_id, text) too. Null, empty and short texts lose nothing; equal texts, ties and repeated rows
-    are copies and go whole if they are as long as a passage; an empty table gives an empty table.
+    short: the runs of ``words`` words that take fewer than ``length`` bytes, so hold no string of that length, and stand
+    elsewhere too. These windows (few in prose) are compared by content hash, over all documents.
     """
-    if runs is None:
-        runs = written(repeated_runs(docs, length, whole_characters=True).select("digest", "kept", "spans"), "repeats-runs")
-    texts = docs.where(F.octet_length("text") >= 2 * words - 1).select("text", F.sha2("text", 256).alias("digest"))
-    window_schema = pa.schema([("hash", pa.int64()), ("digest", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+    spans = repeated_spans(docs, length)
+    texts = docs.where(F.octet_length("text") >= 2 * words - 1).select("text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    window_schema = pa.schema([("hash", pa.int64()), ("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -396,42 +456,86 @@ def repeated_passages(docs: DataFrame, length: int = PASSAGE, words: int = PASSA
                 for at in range(0, len(found), FLUSH):
                     part = found[at : at + FLUSH]
                     hashes = np.array([xxh64_intdigest(data[a:b], 11) for a, b in part], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([digest] * len(part)), *(pa.array(x) for x in zip(*part))], schema=window_schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([digest] * len(part), pa.binary()), *(pa.array(x) for x in zip(*part))], schema=window_schema)
+
+    found = written(texts.mapInArrow(windows, "hash long, digest binary, a long, b long"), "repeats-words")
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeats-again")
+    short = written(found.join(bounded(again), "hash").groupBy("digest").agg(F.collect_set(F.array("a", "b")).alias("short")), "repeats-short")
+    both = written(spans.join(short, "digest", "full"), "repeats-passages")
+    discard(found, again, short)
+    return both, spans
 
-    found = written(texts.mapInArrow(windows, "hash long, digest string, a long, b long"), "repeats-words")
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    short = found.join(bounded(written(again, "repeats-again")), "hash").groupBy("digest").agg(F.collect_set(F.array("a", "b")).alias("short"))
-    short = written(short.join(runs.select("digest", "spans"), "digest", "left").select("digest", F.concat("short", F.coalesce("spans", F.array().cast("array<array<bigint>>"))).alias("spans")), "repeats-short")
-    chosen = texts.join(bounded(short), "digest").dropDuplicates(["digest"]).select("digest", "text", "spans")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def without_passages(data: bytes, spans: list | None, short: list | None) -> bytes:
+    """What is left of a text; characters that aren't wholly inside a passage stay."""
+    runs = cut_runs(data, spans or [], whole_characters=True)[1] + [tuple(x) for x in short or []]
+    if not runs:
+        return data
+    lo, hi = np.array(runs, np.int64).T
+    return cut_runs(data, covered_runs(lo, hi - lo, 1), whole_characters=True)[0]
+
+
+def cut_passages(docs: DataFrame, left: str, length: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs (all columns, among them text) with ``left``: null for a text that loses nothing, else the text less its repeated
+    passages of ``length`` bytes, characters kept whole, and of ``words`` words that take fewer bytes.
+
+    Null, empty and short texts lose nothing; equal texts, ties and repeated rows are copies and go whole if they are as
+    long as a passage; long texts are compared whole; an empty table gives an empty table; the texts are read, not shuffled,
+    while the list of passages is small enough to be broadcast.
+    """
+    passages, _ = passage_spans(docs.select("text"), length, words)
+    return _cut(docs, passages, left)
+
+
+def _cut(docs: DataFrame, passages: DataFrame, left: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    names = unused(docs, "digest", "spans", "short")
+    listed = passages.select(*[F.col(c).alias(n) for c, n in zip(("digest", "spans", "short"), names)])
+    rows = docs.withColumn(names[0], F.unhex(F.sha2("text", 256))).join(bounded(listed), names[0], "left")
+    docs_names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                lo, hi = np.array(spans, np.int64).T
-                kept.append(cut_runs(text.encode(), covered_runs(lo, hi - lo, 1), whole_characters=True)[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["digest", "kept"])
+            *columns_, spans, short = batch.columns
+            out = [None] * batch.num_rows
+            for k in _listed(spans, short):
+                out[k] = without_passages(columns_[at][k].as_py().encode(), spans[k].as_py(), short[k].as_py()).decode()
+            yield pa.RecordBatch.from_arrays([*columns_, pa.array(out, pa.string())], names=[*docs_names, left])
+
+    ordered = rows.select(*columns(docs), *[F.col(n) for n in names[1:]])
+    return numbered(ordered).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(left, T.StringType())]))
+
 
-    rest = runs.join(bounded(short.select("digest")), "digest", "left_anti").select("digest", "kept")
-    return rest.union(chosen.mapInArrow(cut, "digest string, kept binary"))
+def _listed(*lists: pa.Array) -> list[int]:
+    """Rows in which a list isn't null."""
+    return np.flatnonzero(np.any([x.is_valid().to_numpy(zero_copy_only=False) for x in lists], 0)).tolist()
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The 400-byte rule; and, as ``text``, what is left of a text without its repeated passages of over 50 words.
 
-    A repeated string of LENGTH bytes lies inside a repeated run of passages, so only texts with such a run are searched for it.
+    A repeated string of LENGTH bytes lies inside a run of repeated passages, so only texts with so long a run are searched for it.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    runs = written(repeated_runs(docs, PASSAGE, whole_characters=True).select("digest", "kept", "spans"), "repeats-runs")
-    passages = written(repeated_passages(docs, runs=runs).select("digest", F.decode("kept", "UTF-8").alias("left")), "repeats-passages")
-    cut = 2 * 3  # bytes of a character that may have stayed at either end of a run
-    long_enough = runs.where(F.exists("spans", lambda s: s[1] - s[0] >= LENGTH - cut)).select("digest")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
-    found = repeated_runs(rows.join(bounded(long_enough), "digest", "left_semi").select("doc_id", "text"), LENGTH)
-    lost = found.select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    lost = written(passages.join(lost, "digest", "full"), "repeats-lost")
-    return rows.join(bounded(lost), "digest", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "digest").alias("kept_sha256"), F.coalesce("left", "text").alias("text"),
-    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    rows = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    passages, runs = passage_spans(docs)
+    long_enough = runs.where(F.exists("spans", lambda s: s[1] - s[0] >= LENGTH)).select("digest")
+    within = written(rows.join(bounded(long_enough), "digest", "left_semi").select("text"), "repeats-within")
+    whole = repeated_spans(within, LENGTH).withColumnRenamed("spans", "cut")
+    found = rows.join(bounded(written(passages.join(whole, "digest", "full"), "repeats-found")), "digest", "left")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, size, own, text, spans, short, cut = batch.columns
+            removed, runs_, kept, left = [0] * len(doc), [0] * len(doc), own.to_pylist(), text.to_pylist()
+            for k in _listed(spans, short, cut):
+                data = left[k].encode()
+                left[k] = without_passages(data, spans[k].as_py(), short[k].as_py()).decode()
+                if cut[k].is_valid:
+                    rest, out = cut_runs(data, cut[k].as_py())
+                    removed[k], runs_[k], kept[k] = len(data) - len(rest), len(out), hashlib.sha256(rest).hexdigest()
+            yield pa.RecordBatch.from_arrays([doc, size, pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.string())], schema=schema)
+
+    shown = found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lower(F.hex("digest")).alias("own"), "text", "spans", "short", "cut")
+    return shown.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

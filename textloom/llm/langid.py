@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import small_batches, table
+from .common import numbered, small_batches, table
 
 #: Bytes of a window; a text is cut into such windows, all of them scored.
 WINDOW = 256
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, net: ByteConvNet, names: tuple[str, str, str] = ("h
     small_batches(docs.sparkSession)
     docs = docs.drop(*names)
     schema = docs.schema
-    texts = docs.columns.index("text")
+    docs_names, texts = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast, labels = net.compiled(), net.labels
@@ -189,12 +189,12 @@ def predict(docs: DataFrame, net: ByteConvNet, names: tuple[str, str, str] = ("h
                 k = int(mean.argmax())
                 pred.append(labels[k])
                 score.append(float(min(1.0, mean[k])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names[1:]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*docs_names, *names[1:]])
 
     from pyspark.sql import types as T
 
     out = T.StructType([*schema.fields, T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
-    return docs.mapInArrow(run, out).withColumn(names[0], held_out(F.col("doc_id")))
+    return numbered(docs).mapInArrow(run, out).withColumn(names[0], held_out(F.col("doc_id")))
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
