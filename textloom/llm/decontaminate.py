@@ -116,7 +116,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, name
     found = written(alignments(index, chosen, tests, window), "alignments")
     per_text = found.join(bounded(tests), "item").groupBy("key").agg(F.collect_list(F.struct("shift", "words", "ids")).alias("found"))
     texts = keyed.join(bounded(found.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-    compared = texts.join(per_text, "key").withColumn("words", words_of(F.col("text")))
+    # through a generator, as the optimizer would else move the splitting into the loop over an item's words
+    compared = texts.join(per_text, "key").select("key", "found", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     matches = F.filter(F.transform("found", lambda c: F.struct(_runs(F.col("words"), c, window).alias("runs"), c["ids"].alias("ids"))), lambda m: F.size(m["runs"]) > 0)
     answers = compared.select("key", matches.alias("m")).where(F.size("m") > 0)
     answers = written(answers.select(F.col("key").alias(key), F.flatten("m.runs").alias(names[1]), F.array_sort(F.array_distinct(F.flatten("m.ids"))).alias(names[2])), "phrases")
@@ -156,3 +157,7 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def proximity_query(spark, sf_dir: str) -> DataFrame:
+    return proximity_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import op3_decontaminate
+from .decontaminate import op3_decontaminate, proximity_query
 from .exact_repeats import op6_suffix_dedup
 from .html_text import op2_html_text
 from .langid import op10_langid
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "proximity_matches": proximity_query,
 }
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -43,6 +44,17 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "proximity_matches": f"""
+        WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        it AS (SELECT DISTINCT item_id, unnest(w) AS term FROM i),
+        d AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
+        n AS (SELECT term, count(*) AS n FROM d WHERE term IN (SELECT term FROM it) GROUP BY term),
+        size AS (SELECT item_id, least(3, count(*)) AS need FROM it GROUP BY item_id),
+        r AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS r FROM it JOIN n USING (term)) WHERE r <= 3),
+        k AS (SELECT item_id, count(*) AS have FROM r GROUP BY item_id),
+        p AS (SELECT doc_id, item_id, need, term, pos FROM d JOIN r USING (term) JOIN size USING (item_id) JOIN k USING (item_id) WHERE have = need)
+        SELECT DISTINCT doc_id, item_id FROM (SELECT a.doc_id, a.item_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.pos >= a.pos AND b.pos < a.pos + 30
+            GROUP BY a.doc_id, a.item_id, a.pos, a.need HAVING count(DISTINCT b.term) >= a.need)""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
