@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, discard, small_batches, table, written
+from .common import bounded, discard, release, small_batches, table, written
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -94,7 +94,7 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     chains = [[sum(segments[(k + j) % m] for j in range(n + 1)) for n in range(m)] for k in range(m)]
     keys = F.array(*[F.struct(F.lit(k).alias("at"), F.col("fp").bitwiseAND(F.lit(_signed(chains[k][head - 1]))).alias("key")) for k in range(m)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.at", "k.key")
-    sizes = keyed.groupBy("at", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = written(keyed.groupBy("at", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     met = written(keyed.join(sizes, ["at", "key"]), "simhash-met")
 
     few = met.where(F.col("n") <= PAIRED).select("at", "key", "fp")
@@ -146,6 +146,8 @@ def simhash_components(docs: DataFrame, words: int = 5, most: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
+#: Columns of the parities of a set of shingles.
+PARITIES = ["p0", "p1", "p2", "p3"]
 #: One text in SAMPLED counts for the shingles that are common; those that SAMPLE_HITS of them hold, COMMON at most, go last in the order of near_duplicates.
 SAMPLED, SAMPLE_HITS, COMMON = 16, 8, 200_000
 
@@ -168,15 +170,22 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text.encode(), words)), np.int64))
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """256 bits, each whether an odd number of the set's members falls on it: two sets differ in as many members at least as bits."""
+    bits = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row's doc_id, key, md5, class_id): class_id is the smallest doc_id of the texts that near-duplicate links connect.
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at least
     ``similarity``; equal texts are one. Candidates come from a prefix filter: with all sets in one order, two sets of m
     and n shingles that have at least c in common share one before the last c - 1 of each. The order is free, so
-    shingles that a sample finds common go last, where few texts look for them; no pair depends on the sample. Texts
-    that share a prefix shingle first link to a pivot of it; then every pair of a shingle is tried that these links don't
-    connect already, so what is connected is exact and the rows of a large group follow its texts. Null and blank texts
+    shingles that a sample finds common go last, where few texts look for them; no pair depends on the sample. Pairs whose
+    parities differ in more bits than such sets differ in shingles are never made. Texts
+    that share a prefix shingle first link to one of them; then every pair of a shingle is tried that these links leave apart, so what is connected is exact and the rows of a large
+    group follow its texts. Null and blank texts
     link to nothing but equal ones; null ids never name a class unless it has no other; an empty table gives an empty
     table; other columns are left out.
     """
@@ -205,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
 
-    prefix_schema = pa.schema([("key", pa.int64()), ("token", pa.int64()), ("rest", pa.int32()), ("n", pa.int32())])
+    prefix_schema = pa.schema([("key", pa.int64()), ("token", pa.int64()), ("rest", pa.int32()), ("n", pa.int32()), *((p, pa.int64()) for p in PARITIES)])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,13 +225,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             take = np.where(n > 0, n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1, 0)
             token = np.concatenate([s[:k] for s, k in zip(sets, take)])
             rest = np.concatenate([np.arange(m, m - k, -1) for m, k in zip(n, take)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), take))), pa.array(token), pa.array(rest.astype(np.int32)), pa.array(np.repeat(n, take).astype(np.int32))], schema=prefix_schema)
+            later = rest != np.repeat(n, take)  # the parities stand in a text's first row
+            bits = [pa.array(np.repeat(p, take), mask=later) for p in np.array([parities(s) for s in sets]).T]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), take))), pa.array(token), pa.array(rest.astype(np.int32)), pa.array(np.repeat(n, take).astype(np.int32)), *bits], schema=prefix_schema)
 
     # rest: the shingles from this one on; first: whether it can be the first that a partner of the same size or larger has in common
     share = similarity / (1 + similarity)
-    heads = written(owners.select("key", "text").mapInArrow(prefixes, "key long, token long, rest int, n int"), "near-heads")
+    heads = written(owners.select("key", "text").mapInArrow(prefixes, f"key long, token long, rest int, n int, {' long, '.join(PARITIES)} long"), "near-heads")
+    sketch = written(heads.where("p0 IS NOT NULL").groupBy("key").agg(*[F.first(p).alias(p) for p in PARITIES]), "near-sketch")
     shared = written(heads.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("token"), "near-tokens")
-    met = written(heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6).join(bounded(shared), "token").distinct(), "near-met")
+    met = written(heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6).drop(*PARITIES).join(bounded(shared), "token").distinct(), "near-met")
     discard(heads, shared)
 
     def sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -239,11 +251,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         length = lambda k: least + 1 - F.ceil(F.lit(similarity) * F.col(f"n{k}") - 1e-6)
         hopeful = written(sides(pairs, tops).where(F.size(F.array_intersect("tu", "tv")) >= F.least(length("u"), length("v"))).select("u", "v"), "near-hopeful")
         discard(pairs, tops)
+        release(docs.sparkSession)
         chosen = owners.join(keys(hopeful), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
         sets = written(chosen.mapInArrow(shingles, "key long, s array<bigint>"), "near-sets")
         common = F.size(F.array_intersect("su", "sv"))
         links = written(sides(hopeful, sets).where(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v"), "near-links")
         discard(hopeful, sets)
+        release(docs.sparkSession)
         return links
 
     set_schema = pa.schema([("key", pa.int64()), ("s", pa.list_(pa.int64()))])
@@ -252,20 +266,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], schema=set_schema)
 
-    fits = lambda x, y: (F.col(f"{x}.rest") >= F.lit(share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6) & (F.col(f"{y}.rest") >= F.lit(share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6)
+    at_all = lambda x, y: (F.col(f"{x}.rest") >= F.lit(share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6) & (F.col(f"{y}.rest") >= F.lit(share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6)
+    differ = lambda x, y: sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
+    fits = lambda x, y: at_all(x, y) & (differ(x, y) <= F.lit(1 - 2 * share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6)
     ordered_pair = [F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")]
-    # shingles of many texts: one of four pivots, drawn among the texts, gets them all
-    drawn = F.struct(F.xxhash64("key", F.pmod("token", F.lit(4))).alias("h"), "key", "rest", "n")
-    pivots = met.groupBy("token").agg(F.count("*").alias("size"), F.min(drawn).alias("p")).where(F.col("size") > PAIRED).select("token", "p.key", "p.rest", "p.n")
-    stars = met.alias("x").join(pivots.alias("y"), "token").where((F.col("x.key") != F.col("y.key")) & fits("x", "y")).select(*ordered_pair).distinct()
+    # each shingle's texts first against the one of them that has most of its shingles in common with others
+    central = written(met.groupBy("key").agg(F.count("*").alias("met")), "near-central")
+    drawn = F.struct((F.col("met") / F.col("n")).alias("share"), F.xxhash64("key").alias("h"), "key", "rest", "n")
+    pivots = met.join(bounded(central), "key").groupBy("token").agg(F.max(drawn).alias("p")).select("token", "p.key", "p.rest", "p.n")
+    stars = met.alias("x").join(pivots.alias("y"), "token").where((F.col("x.key") != F.col("y.key")) & at_all("x", "y")).select(*ordered_pair).distinct()
     linked = similar(stars)
-    roots = connected_components(linked)
+    roots = written(connected_components(linked), "near-roots")
+    release(docs.sparkSession)
 
     # then all pairs that are not connected yet: those outside a shingle's largest part against all its texts
-    placed = written(met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
+    placed = written(met.join(bounded(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
+    discard(central)
     parts = placed.groupBy("token", "root").agg(F.count("*").alias("size"))
-    split = parts.groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("most.root").alias("most"))
-    open_ = written(placed.join(split, "token"), "near-open")
+    split = written(parts.groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("most.root").alias("most")), "near-split")
+    release(docs.sparkSession)
+    open_ = written(placed.join(bounded(split), "token").join(bounded(sketch), "key"), "near-open")
+    discard(placed, split)
+    release(docs.sparkSession)
     few, small, large = F.col("root") != F.col("most"), open_.where("first"), open_
     apart = (F.col("x.n") <= F.col("y.n")) & (F.col("x.root") != F.col("y.root")) & fits("x", "y")
     pair = lambda a, b: a.alias("x").join(b.alias("y"), "token").where(apart).select(*ordered_pair)
@@ -274,8 +296,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     roots = connected_components(linked)
     named = rows.join(nodes.select("key", "owner"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     label = F.when(F.col("md5") == F.col("owner"), F.coalesce("root", "key").cast("string")).otherwise(F.col("md5"))
-    named = named.select("doc_id", "key", "md5", label.alias("class"))
-    least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    named = written(named.select("doc_id", "key", "md5", label.alias("class")), "near-named")
+    least = written(named.groupBy("class").agg(F.min("doc_id").alias("class_id")), "near-classes")
     return named.join(least, "class").select("doc_id", "key", "md5", "class_id")
 
 
