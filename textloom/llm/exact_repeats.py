@@ -34,6 +34,8 @@ LENGTH = 400
 PASSAGE, PASSAGE_WORDS = 240, 51
 #: Rows of a batch that a task hands on.
 FLUSH = 100_000
+#: Bytes of short texts that a task works on at once.
+TOGETHER = 1 << 17
 _MASK = (1 << 64) - 1
 
 PAIR = "near long, far long, key long, at int, part int"
@@ -61,7 +63,10 @@ class Ranks:
         self.size, self.powers, self.inverse = size, powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
 
     def of(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode(), np.uint8)
+        return self.of_bytes(text.encode())
+
+    def of_bytes(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
         if len(data) > self.size:
             self._grow(2 * len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -74,8 +79,8 @@ class Ranks:
 
 
 def sampled(ranks: np.ndarray, window: int) -> np.ndarray:
-    """For each run of ``window`` positions the leftmost one of smallest rank (compared by its high bits)."""
-    bits = np.uint64(max(1, int(len(ranks)).bit_length()))
+    """For each run of ``window`` positions the leftmost one of smallest rank, compared by its high 32 bits wherever the run stands."""
+    bits = np.uint64(32)
     packed = ranks >> bits << bits | np.arange(len(ranks), dtype=np.uint64)
     padded = np.full(-(-len(ranks) // window) * window, _MASK, np.uint64)
     padded[: len(ranks)] = packed
@@ -114,22 +119,41 @@ def _numbers(column: pa.Array, row: int) -> np.ndarray:
 
 
 def sample_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(rank, key, own) for the samples of each text (key, text): its distinct ranks, and whether one stands at two places of it."""
+    """(rank, key, own) for the samples of each text (key, text): its distinct ranks, and whether one stands at two places of it.
+
+    The texts of about TOGETHER bytes are laid end to end and worked on at once; runs that cross from one into the next don't count.
+    """
     base = length * 3 // 8
     schema = pa.schema([("rank", pa.int64()), ("key", pa.int64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Ranks(base)
+
+        def block(keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            sizes = np.array([len(t) for t in texts])
+            ends = np.cumsum(sizes)
+            r = hashes.of_bytes(b"".join(texts))
+            starts = spread(ends - sizes, sizes - length + 1)  # of whole runs
+            of_text = np.repeat(np.arange(len(texts)), sizes - length + 1)
+            at = sampled(r, length - base + 1)[starts]
+            first = np.concatenate([[True], (at[1:] != at[:-1]) | (of_text[1:] != of_text[:-1])])
+            ranks, of_text = r[at[first]], of_text[first]
+            order = np.lexsort((ranks, of_text))
+            ranks, of_text = ranks[order], of_text[order]
+            new = np.flatnonzero(np.concatenate([[True], (ranks[1:] != ranks[:-1]) | (of_text[1:] != of_text[:-1])]))
+            return pa.RecordBatch.from_arrays([_signed(ranks[new]), pa.array(np.array(keys, np.int64)[of_text[new]]), pa.array(np.diff(np.append(new, len(ranks))) > 1)], schema=schema)
+
+        keys, texts, held = [], [], 0
         for batch in batches:
-            ranks, keys, own = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                r = hashes.of(text)
-                u, n = np.unique(r[steps(sampled(r, length - base + 1))], return_counts=True)
-                ranks.append(u)
-                own.append(n > 1)
-                keys.append(np.full(len(u), key, np.int64))
-            if ranks:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(ranks)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(own))], schema=schema)
+                keys.append(key)
+                texts.append(text.encode())
+                held += len(texts[-1])
+                if held >= TOGETHER:
+                    yield block(keys, texts)
+                    keys, texts, held = [], [], 0
+        if texts:
+            yield block(keys, texts)
 
     return docs.mapInArrow(run, "rank long, key long, own boolean")
 
@@ -251,13 +275,13 @@ def reranked(pairs: DataFrame) -> DataFrame:
     """
     pairs = pairs if hasattr(pairs, "scratch_path") else written(pairs, "repeats-unsorted")  # it is read twice, for the bounds of the ranges too
     ordered = pairs.repartitionByRange(parallelism(pairs.sparkSession), "near", "far", "key", "at", "part").sortWithinPartitions("near", "far")
-    schema = pa.schema([("rank", pa.int64()), ("near", pa.int64()), ("far", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("part", pa.int32())])
+    schema = pa.schema([("rank", pa.int64()), ("near", pa.int64()), ("far", pa.int64()), ("twice", pa.bool_()), ("key", pa.int64()), ("at", pa.int32()), ("part", pa.int32())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, held = (TaskContext.get().partitionId() << 40) - 1, None  # held: the last pair's rows so far (its last, once there are two), not handed on yet
 
-        def rows(ranks, near, far, key, at, part, edge) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(near, mask=~edge), pa.array(far, mask=~edge), pa.array(key), pa.array(at), pa.array(part)], schema=schema)
+        def rows(ranks, near, far, key, at, part, edge, twice) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(near, mask=~edge), pa.array(far, mask=~edge), pa.array(twice), pa.array(key), pa.array(at), pa.array(part)], schema=schema)
 
         first = True
         for batch in batches:
@@ -279,20 +303,20 @@ def reranked(pairs: DataFrame) -> DataFrame:
             # all rows but the last go on; whether that one's pair is unique the next batch shows
             go = np.flatnonzero((alike | of_first)[:last])
             if len(go):
-                yield rows(ranks[go], *(c[go] for c in cols), of_first[go])
+                yield rows(ranks[go], *(c[go] for c in cols), of_first[go], alike[go])
             first = first and bool(of_first[last])
             held = [*(c[last:] for c in cols), bool(alike[last])]
             rank = int(ranks[last])
         if held is not None:
             # rows of the last pair that went on before the end was known carry no pair; their number leads to it
-            yield rows(np.array([rank]), *held[:5], np.array([True]))
-
-    out = written(ordered.mapInArrow(number, "rank long, near long, far long, key long, at int, part int"), "repeats-ranked")
-    edges = written(out.where("near IS NOT NULL").select("near", "far", "rank").distinct(), "repeats-edges")  # at most two rows a task
-    of_edge = F.broadcast(edges.select("rank", F.col("near").alias("n2"), F.col("far").alias("f2")))
-    sizes = out.join(of_edge, "rank").groupBy("n2", "f2").agg(F.count("*").alias("c"), F.min("rank").alias("to"))
-    shared = F.broadcast(edges.join(sizes.withColumnsRenamed({"n2": "near", "f2": "far"}), ["near", "far"]).select("rank", "to", "c"))
-    ranks = written(out.join(shared, "rank", "left").where("c IS NULL OR c > 1").select(F.coalesce("to", "rank").alias("rank"), "key", "at", "part"), "repeats-ranks")
+            yield rows(np.array([rank]), *held[:5], np.array([True]), np.array([held[5]]))
+
+    out = written(ordered.mapInArrow(number, "rank long, near long, far long, twice boolean, key long, at int, part int"), "repeats-ranked")
+    edges = out.where("near IS NOT NULL").groupBy("near", "far", "rank").agg(F.max("twice").alias("twice"))
+    edges = written(edges, "repeats-edges")  # at most two rows a task
+    joined = edges.groupBy("near", "far").agg(F.min("rank").alias("to"), (F.max("twice") | (F.count("*") > 1)).alias("again"))
+    shared = F.broadcast(edges.join(joined, ["near", "far"]).select("rank", "to", "again"))
+    ranks = written(out.join(shared, "rank", "left").where("again IS NULL OR again").select(F.coalesce("to", "rank").alias("rank"), "key", "at", "part"), "repeats-ranks")
     discard(out, edges, pairs)
     release(ranks.sparkSession)
     return ranks
@@ -310,9 +334,9 @@ def repeated_starts(pairs: DataFrame) -> DataFrame:
 
 def alike_and_open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of stretches: (key, lo, n) of those whose bytes stand under another one, and of those, one of each kind, whose starts must be looked at singly."""
-    kinds = written(rows.groupBy("core", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo")).alias("one")), "repeats-kinds")
+    kinds = written(rows.groupBy("core", "whole", "n").agg(F.count("*").alias("c"), F.first("key").alias("key"), F.first("lo").alias("lo")), "repeats-kinds")  # both of one row, any of them
     mixed = written(kinds.groupBy("core").agg(F.min("c").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("core"), "repeats-mixed")
-    lone = written(kinds.join(mixed, "core").select("one.key", "one.lo", "n"), "repeats-lone")
+    lone = written(kinds.join(mixed, "core").select("key", "lo", "n"), "repeats-lone")
     alike = written(rows.join(kinds.where("c > 1").select("core", "whole", "n"), ["core", "whole", "n"]).select("key", "lo", "n"), "repeats-alike")
     discard(kinds, mixed)
     return alike, lone
