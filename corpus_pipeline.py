@@ -33,7 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest doc_id (of repeated rows one).
 
-    Null and empty texts are copies of each other alone; a null id stays only where its group has no other, once; long texts
+    Texts whose SimHash fingerprints the pigeonring brings together are compared exactly; what those leave apart, a filter
+    that is complete for the similarity provides. Null and empty texts are copies of each other alone; a null id stays only where its group has no other, once; long texts
     are compared whole; an empty table stays empty; other columns are kept, whatever their names (of rows of one id and
     text, those of one row).
     """

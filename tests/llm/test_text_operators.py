@@ -439,3 +439,32 @@ def test_near_duplicates_among_texts_of_a_template(spark):
     assert all(alike(i, 1500 + i) >= 0.8 > alike(i, i + 1) for i in range(60))
     got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
     assert got == {i: i - 1500 if i >= 1500 else i for i in range(1560)}
+
+
+def test_near_duplicates_meet_on_the_ring(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    texts = []
+    for k in range(60):
+        base = new(200)
+        edited = list(base)
+        for at in rng.choice(200, 1 + k % 3, replace=False):
+            edited[at] = f"edit{k}"
+        texts += [" ".join(base), " ".join(edited)]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    fps = [simhash.wide_fingerprint(s) for s in sets]
+    bits = lambda a, b: sum(int(x).bit_count() for x in a ^ b)
+    most = simhash.DIFFER * simhash.SEGMENTS * simhash.SEGMENT_BITS
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if (fps[i] == fps[j]).any() and bits(fps[i], fps[j]) <= most}
+    made = []
+
+    def watched(table, real=simhash.ring_pairs):
+        keys = {r.key: next(i for i, f in enumerate(fps) if f.tolist() == r.segments) for r in table.collect()}
+        got = real(table)
+        made.append({tuple(sorted((keys[r.u], keys[r.v]))) for r in got.collect()})
+        return got
+
+    monkeypatch.setattr(simhash, "ring_pairs", watched)
+    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
+    assert made == [want] and len(want & {(2 * k, 2 * k + 1) for k in range(60)}) >= 57
+    assert got == {i: i - i % 2 for i in range(120)}

@@ -146,6 +146,9 @@ def simhash_components(docs: DataFrame, words: int = 5, most: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
+#: The wide fingerprint of near_duplicates: segments on its ring, bits of a segment, and the share of bits that may differ; sets of similarity 0.8 differ in 0.15 on average.
+SEGMENTS, SEGMENT_BITS, DIFFER = 64, 24, 0.2
+_SALTS = np.random.default_rng(3).integers(0, 1 << 64, SEGMENTS * SEGMENT_BITS // 64, dtype=np.uint64)
 #: Columns of the parities of a set of shingles.
 PARITIES = ["p0", "p1", "p2", "p3"]
 #: One text in SAMPLED counts for the shingles that are common; those that SAMPLE_HITS of them hold, COMMON at most, go last in the order of near_duplicates.
@@ -170,6 +173,45 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text.encode(), words)), np.int64))
 
 
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in SEGMENTS * SEGMENT_BITS bits, one integer a segment: each bit is set if it is in over half of the members' mixed hashes."""
+    ones = np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
+    for at in range(0, len(s), 4080):
+        x = s[at : at + 4080, None].view(np.uint64) ^ _SALTS
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ x >> np.uint64(31)) * np.uint64(factor)
+        ones += ones_of((x ^ x >> np.uint64(31)).view(np.uint8))
+    bits = np.packbits((2 * ones > len(s)).reshape(SEGMENTS, SEGMENT_BITS), axis=1).astype(np.int32)
+    return bits[:, 0] << 16 | bits[:, 1] << 8 | bits[:, 2]
+
+
+def ring_pairs(fps: DataFrame) -> DataFrame:
+    """(u, v) pairs of wide fingerprints (key, segments), keys distinct, that meet on an equal segment and pass the pigeonring.
+
+    Buckets of up to PAIRED members try their pairs; in a larger one all are tried against one member, so rows follow the members.
+    """
+    slot = F.col("at").cast("long") * (1 << SEGMENT_BITS) + F.col("value")
+    keyed = fps.select("key", F.posexplode("segments").alias("at", "value")).select("key", slot.alias("slot"))
+    sizes = written(keyed.groupBy("slot").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1"), "ring-sizes")
+    met = written(keyed.join(bounded(sizes), "slot"), "ring-met")
+    few = met.where(F.col("n") <= PAIRED).select("slot", "key")
+    pairs = few.withColumnRenamed("key", "u").join(few.withColumnRenamed("key", "v"), "slot").where("u < v").select("u", "v")
+    stars = met.where((F.col("n") > PAIRED) & (F.col("key") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    sides = pairs.union(stars).distinct()
+    for k in "uv":
+        sides = sides.join(fps.select(F.col("key").alias(k), F.col("segments").alias("s" + k)), k)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k).flatten().to_numpy().reshape(-1, SEGMENTS) for k in (2, 3))
+            holds = ring_holds(np.bitwise_count(a ^ c).astype(np.int32), DIFFER * SEGMENTS * SEGMENT_BITS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(holds))
+
+    near = written(sides.select("u", "v", "su", "sv").mapInArrow(prune, "u long, v long"), "ring-pairs")
+    discard(sizes, met)
+    return near
+
+
 def parities(s: np.ndarray) -> list[int]:
     """256 bits, each whether an odd number of the set's members falls on it: two sets differ in as many members at least as bits."""
     bits = np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
@@ -180,7 +222,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """(row's doc_id, key, md5, class_id): class_id is the smallest doc_id of the texts that near-duplicate links connect.
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at least
-    ``similarity``; equal texts are one. Candidates come from a prefix filter: with all sets in one order, two sets of m
+    ``similarity``; equal texts are one. Candidates come from a wide SimHash of the sets, by pigeonring (``ring_pairs``);
+    an exact check of the sets follows. No budget on a SimHash is complete for a similarity, so a prefix filter provides the
+    pairs that these links leave apart: with all sets in one order, two sets of m
     and n shingles that have at least c in common share one before the last c - 1 of each. The order is free, so
     shingles that a sample finds common go last, where few texts look for them; no pair depends on the sample. Pairs whose
     parities differ in more bits than such sets differ in shingles are never made. Texts
@@ -214,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
 
-    prefix_schema = pa.schema([("key", pa.int64()), ("token", pa.int64()), ("rest", pa.int32()), ("n", pa.int32()), *((p, pa.int64()) for p in PARITIES)])
+    prefix_schema = pa.schema([("key", pa.int64()), ("token", pa.int64()), ("rest", pa.int32()), ("n", pa.int32()), *((p, pa.int64()) for p in PARITIES), ("segments", pa.list_(pa.int32()))])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,16 +269,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             take = np.where(n > 0, n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1, 0)
             token = np.concatenate([s[:k] for s, k in zip(sets, take)])
             rest = np.concatenate([np.arange(m, m - k, -1) for m, k in zip(n, take)])
-            later = rest != np.repeat(n, take)  # the parities stand in a text's first row
+            later = rest != np.repeat(n, take)  # parities and fingerprint stand in a text's first row
             bits = [pa.array(np.repeat(p, take), mask=later) for p in np.array([parities(s) for s in sets]).T]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), take))), pa.array(token), pa.array(rest.astype(np.int32)), pa.array(np.repeat(n, take).astype(np.int32)), *bits], schema=prefix_schema)
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SEGMENTS), pa.array(np.concatenate([wide_fingerprint(s) for s in sets])))
+            at = np.repeat(np.arange(len(n)), take)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(token), pa.array(rest.astype(np.int32)), pa.array(np.repeat(n, take).astype(np.int32)), *bits, wide.take(pa.array(at, mask=later))], schema=prefix_schema)
 
     # rest: the shingles from this one on; first: whether it can be the first that a partner of the same size or larger has in common
     share = similarity / (1 + similarity)
-    heads = written(owners.select("key", "text").mapInArrow(prefixes, f"key long, token long, rest int, n int, {' long, '.join(PARITIES)} long"), "near-heads")
+    heads = written(owners.select("key", "text").mapInArrow(prefixes, f"key long, token long, rest int, n int, {' long, '.join(PARITIES)} long, segments array<int>"), "near-heads")
+    fps = written(heads.where("p0 IS NOT NULL").groupBy("key").agg(F.first("segments").alias("segments")), "near-fingerprints")
     sketch = written(heads.where("p0 IS NOT NULL").groupBy("key").agg(*[F.first(p).alias(p) for p in PARITIES]), "near-sketch")
     shared = written(heads.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("token"), "near-tokens")
-    met = written(heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6).drop(*PARITIES).join(bounded(shared), "token").distinct(), "near-met")
+    met = written(heads.withColumn("first", F.col("rest") >= 2 * F.col("n") * F.lit(share) - 1e-6).drop(*PARITIES, "segments").join(bounded(shared), "token").distinct(), "near-met")
     discard(heads, shared)
 
     def sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -270,12 +317,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     differ = lambda x, y: sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
     fits = lambda x, y: at_all(x, y) & (differ(x, y) <= F.lit(1 - 2 * share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6)
     ordered_pair = [F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")]
-    # each shingle's texts first against the one of them that has most of its shingles in common with others
+    linked = similar(ring_pairs(fps))
+    roots = bounded(written(connected_components(linked), "near-roots"))
+    discard(fps)
+    release(docs.sparkSession)
+    # what the fingerprints leave apart: each shingle's texts first against the one of them that has most of its shingles in common with others
     central = written(met.groupBy("key").agg(F.count("*").alias("met")), "near-central")
     drawn = F.struct((F.col("met") / F.col("n")).alias("share"), F.xxhash64("key").alias("h"), "key", "rest", "n")
     pivots = met.join(bounded(central), "key").groupBy("token").agg(F.max(drawn).alias("p")).select("token", "p.key", "p.rest", "p.n")
     stars = met.alias("x").join(pivots.alias("y"), "token").where((F.col("x.key") != F.col("y.key")) & at_all("x", "y")).select(*ordered_pair).distinct()
-    linked = similar(stars)
+    for k in "uv":
+        stars = stars.join(roots.select(F.col("node").alias(k), F.col("root").alias("r" + k)), k, "left")
+    linked = linked.union(similar(stars.where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")))
     roots = written(connected_components(linked), "near-roots")
     release(docs.sparkSession)
 
