@@ -468,3 +468,14 @@ def test_near_duplicates_meet_on_the_ring(spark, monkeypatch):
     got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
     assert made == [want] and len(want & {(2 * k, 2 * k + 1) for k in range(60)}) >= 57
     assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_words_that_the_packer_remembers():
+    words = packing.Remembered(3)
+    for k in range(50):
+        words.put(f"rare{k}", b"")
+        assert (words.get("common") or words.put("common", b"x")) in (None, b"x")
+        assert len(words.new) <= 3 and len(words.old) <= 3
+    assert words.get("common") == b"x" and words.get("rare0") is None and words.get("rare49") == b""
+    path = packing.tokenizer_path()
+    assert packing.word_ids(path) is packing.word_ids(path)

@@ -6,6 +6,7 @@ same rule, over the pieces of many tasks; only what is still open at its end is
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -23,8 +24,8 @@ WINDOW, END = 2048, 1
 OPEN_WINDOWS = 4096
 #: Ids of left-over pieces that a task of the second pass gets.
 SECOND_IDS = 1 << 24
-#: Words whose ids a task remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 400_000
+#: Words in one generation of those whose ids a worker remembers, which changes no result; common words pass on to the next generation, rare ones go.
+REMEMBERED = 100_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NUMBERS = [(n, pa.int64()) for n in "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()]
@@ -37,6 +38,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered:
+    """The words met last, in two generations of at most ``most`` each: a full one becomes the old one, and what was old and not met since goes."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        got = self.new.get(word)
+        if got is None and (got := self.old.get(word)) is not None:
+            self.put(word, got)
+        return got
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
+
+
 class WordIds:
     """Ids of texts by the word-level BPE file, as little-endian 32-bit bytes.
 
@@ -60,35 +81,39 @@ class WordIds:
         spare = iter(range(256, 512))
         self.letters = [chr(b if b in printable else next(spare)) for b in range(256)]
         self.plain = str.maketrans({b: self.letters[b] for b in range(128)})
-        self.of_part: dict[str, bytes] = {}
-        self.of_word: dict[str, bytes] = {}
+        self.of_part, self.of_word = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
     def _part(self, part: str) -> bytes:
         got = self.of_part.get(part)
         if got is None:
             shown = part.translate(self.plain) if part.isascii() else "".join([self.letters[b] for b in part.encode()])
             got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-            if len(self.of_part) >= REMEMBERED:
-                self.of_part.clear()
-            self.of_part[part] = got
+            self.of_part.put(part, got)
         return got
 
     def _word(self, word: str) -> bytes:
+        got = self.of_word.get(word)
+        if got is not None:
+            return got
         if word.isascii():
             parts = self.ASCII_PARTS.findall(word.lower())
         else:
             parts = self.parts.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
         got = b"".join([self._part(p) for p in parts])
-        if len(self.of_word) >= REMEMBERED:
-            self.of_word.clear()
-        self.of_word[word] = got
+        self.of_word.put(word, got)
         return got
 
     def __call__(self, text: str) -> bytes:
         if self.WHOLE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, word = self.of_word.get, self._word
-        return b"".join([known(w) if known(w) is not None else word(w) for w in text.split()])
+        known, word = self.of_word.new, self._word
+        return b"".join([known[w] if w in known else word(w) for w in text.split()])
+
+
+@functools.lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One tokenizer a worker, whose tasks follow each other: it and its words are in memory once."""
+    return WordIds(path)
 
 
 class SumOfSquares:
@@ -189,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, window: int = WINDO
     end = np.array([end_id], "<u4").tobytes()
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer, out = WordIds(path), SumOfSquares(window), _Numbered(TaskContext.get().partitionId() << 32)
+        ids_of, packer, out = word_ids(path), SumOfSquares(window), _Numbered(TaskContext.get().partitionId() << 32)
         for batch in batches:
             closed, left = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
