@@ -470,6 +470,29 @@ def test_near_duplicates_meet_on_the_ring(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(120)}
 
 
+def test_a_group_of_near_copies_does_not_meet_in_all_its_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    base, texts = new(12_000), []
+    for k in range(31):  # as many as a bucket tries in pairs, all near each other
+        edited = list(base)
+        edited[int(rng.integers(12_000))] = f"edit{k}"
+        texts.append(" ".join(edited))
+    texts += [" ".join(new(100)) for _ in range(9)]
+    compared = []
+
+    def watched(df, label, real=simhash.written):
+        out = real(df, label)
+        if label in ("ring-pairs", "near-pairs"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", watched)
+    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "class_id").collect())
+    assert got == {i: 0 if i < 31 else i for i in range(40)}
+    assert max(compared) < 31 * 30 // 4
+
+
 def test_words_that_the_packer_remembers():
     words = packing.Remembered(3)
     for k in range(50):

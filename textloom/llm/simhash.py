@@ -185,30 +185,45 @@ def wide_fingerprint(s: np.ndarray) -> np.ndarray:
     return bits[:, 0] << 16 | bits[:, 1] << 8 | bits[:, 2]
 
 
+def _on_the_ring(fps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of wide fingerprints (key, segments) that pass the pigeonring."""
+    sides = pairs.distinct()
+    for k in "uv":
+        sides = sides.join(fps.select(F.col("key").alias(k), F.col("segments").alias("s" + k)), k)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(k).flatten().to_numpy().reshape(-1, SEGMENTS) for k in (2, 3))
+            holds = ring_holds(np.bitwise_count(a ^ c).astype(np.int32), DIFFER * SEGMENTS * SEGMENT_BITS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(holds))
+
+    return written(sides.select("u", "v", "su", "sv").mapInArrow(prune, "u long, v long"), "ring-pairs")
+
+
 def ring_pairs(fps: DataFrame) -> DataFrame:
     """(u, v) pairs of wide fingerprints (key, segments), keys distinct, that meet on an equal segment and pass the pigeonring.
 
-    Buckets of up to PAIRED members try their pairs; in a larger one all are tried against one member, so rows follow the members.
+    All members of a bucket are tried against one of them, so rows follow the members. The result's ``buckets`` are for
+    ``ring_rest``, which tries the other pairs.
     """
     slot = F.col("at").cast("long") * (1 << SEGMENT_BITS) + F.col("value")
     keyed = fps.select("key", F.posexplode("segments").alias("at", "value")).select("key", slot.alias("slot"))
     sizes = written(keyed.groupBy("slot").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1"), "ring-sizes")
     met = written(keyed.join(bounded(sizes), "slot"), "ring-met")
-    few = met.where(F.col("n") <= PAIRED).select("slot", "key")
-    pairs = few.withColumnRenamed("key", "u").join(few.withColumnRenamed("key", "v"), "slot").where("u < v").select("u", "v")
-    stars = met.where((F.col("n") > PAIRED) & (F.col("key") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("key").alias("v"))
-    sides = pairs.union(stars).distinct()
-    for k in "uv":
-        sides = sides.join(fps.select(F.col("key").alias(k), F.col("segments").alias("s" + k)), k)
+    near = _on_the_ring(fps, met.where(F.col("key") != F.col("hub")).select(F.col("hub").alias("u"), F.col("key").alias("v")))
+    discard(sizes)
+    near.buckets = met
+    return near
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = (b.column(k).flatten().to_numpy().reshape(-1, SEGMENTS) for k in (2, 3))
-            holds = ring_holds(np.bitwise_count(a ^ c).astype(np.int32), DIFFER * SEGMENTS * SEGMENT_BITS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(holds))
 
-    near = written(sides.select("u", "v", "su", "sv").mapInArrow(prune, "u long, v long"), "ring-pairs")
-    discard(sizes, met)
+def ring_rest(fps: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that ``ring_pairs`` did not try, of buckets of up to PAIRED members, where no links (node, root) connect the two yet."""
+    few = buckets.where(F.col("n").between(3, PAIRED)).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    split = written(few.groupBy("slot").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("slot"), "ring-split")
+    open_ = written(few.where(F.col("key") != F.col("hub")).join(bounded(split), "slot").select("slot", "key", "root"), "ring-open")
+    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+    near = _on_the_ring(fps, open_.alias("x").join(open_.alias("y"), "slot").where(apart).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")))
+    discard(split, open_)
     return near
 
 
@@ -223,7 +238,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased) is at least
     ``similarity``; equal texts are one. Candidates come from a wide SimHash of the sets, by pigeonring (``ring_pairs``);
-    an exact check of the sets follows. No budget on a SimHash is complete for a similarity, so a prefix filter provides the
+    an exact check of the sets follows, first against one text of each bucket, then for pairs that these links leave
+    apart (``ring_rest``), so a large group doesn't meet in all its pairs. No budget on a SimHash is complete for a similarity, so a prefix filter provides the
     pairs that these links leave apart: with all sets in one order, two sets of m
     and n shingles that have at least c in common share one before the last c - 1 of each. The order is free, so
     shingles that a sample finds common go last, where few texts look for them; no pair depends on the sample. Pairs whose
@@ -317,9 +333,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     differ = lambda x, y: sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
     fits = lambda x, y: at_all(x, y) & (differ(x, y) <= F.lit(1 - 2 * share) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6)
     ordered_pair = [F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")]
-    linked = similar(ring_pairs(fps))
-    roots = bounded(written(connected_components(linked), "near-roots"))
-    discard(fps)
+    star = lambda roots: roots.select(F.col("root").alias("u"), F.col("node").alias("v"))  # noqa: E731  as much is connected by them
+    ring = ring_pairs(fps)
+    roots = bounded(written(connected_components(similar(ring)), "near-roots"))
+    roots = bounded(written(connected_components(star(roots).union(similar(ring_rest(fps, ring.buckets, roots)))), "near-roots"))
+    discard(fps, ring.buckets)
     release(docs.sparkSession)
     # what the fingerprints leave apart: each shingle's texts first against the one of them that has most of its shingles in common with others
     central = written(met.groupBy("key").agg(F.count("*").alias("met")), "near-central")
@@ -328,7 +346,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     stars = met.alias("x").join(pivots.alias("y"), "token").where((F.col("x.key") != F.col("y.key")) & at_all("x", "y")).select(*ordered_pair).distinct()
     for k in "uv":
         stars = stars.join(roots.select(F.col("node").alias(k), F.col("root").alias("r" + k)), k, "left")
-    linked = linked.union(similar(stars.where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")))
+    linked = star(roots).union(similar(stars.where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")))
     roots = written(connected_components(linked), "near-roots")
     release(docs.sparkSession)
 
@@ -344,7 +362,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     few, small, large = F.col("root") != F.col("most"), open_.where("first"), open_
     apart = (F.col("x.n") <= F.col("y.n")) & (F.col("x.root") != F.col("y.root")) & fits("x", "y")
     pair = lambda a, b: a.alias("x").join(b.alias("y"), "token").where(apart).select(*ordered_pair)
-    linked = linked.union(similar(pair(small.where(few), large).union(pair(small.where(~few), large.where(few))).distinct()))
+    linked = star(roots).union(similar(pair(small.where(few), large).union(pair(small.where(~few), large.where(few))).distinct()))
 
     roots = connected_components(linked)
     named = rows.join(nodes.select("key", "owner"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
