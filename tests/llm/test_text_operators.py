@@ -193,6 +193,28 @@ def test_op6_query(spark, tmp_path):
     assert [got[d].text for d in (5, 6, 7, 8)] == texts[5:]
 
 
+def test_op6_searches_runs_of_passages_alone(spark, tmp_path, monkeypatch):
+    """Runs that begin and end inside characters, two in a text, one of 400 bytes inside a longer one; only their bytes are searched."""
+    rng = np.random.default_rng(14)
+    new = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**4, n))
+    one, two = new(90), new(120)
+    texts = [f"{new(300)}é{one}é{new(300)}é{two}ü{new(9)}", f"{new(300)}©{one}ê{new(9)}", f"{new(200)}ĩ{two}{new(9)}", f"{new(9)}{two[50:460]}é{new(9)}", f"{new(9)}{one}{two}{new(9)}", two, two]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    searched = []
+
+    def watched(docs, length=400, real=exact_repeats.repeated_spans):
+        if length == 400:
+            searched.extend(r.text for r in docs.collect())
+        return real(docs, length)
+
+    monkeypatch.setattr(exact_repeats, "repeated_spans", watched)
+    got = by_id(exact_repeats.op6_suffix_dedup(spark, str(tmp_path)).collect())
+    for d, (b, m) in enumerate(zip(*brute_runs(texts, 400))):
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans) == (len(b), m.sum(), (np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
+        assert got[d].kept_sha256 == hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest()
+    assert max(len(t) for t in searched) < len(one) + len(two) + 9
+
+
 def test_cut_keeps_characters_whole():
     data = "aé日b".encode()
     kept, cut = exact_repeats.cut_runs(data, [(2, 5)], whole_characters=True)

@@ -535,17 +535,44 @@ def _listed(*lists: pa.Array) -> list[int]:
     return np.flatnonzero(np.any([x.is_valid().to_numpy(zero_copy_only=False) for x in lists], 0)).tolist()
 
 
+def run_texts(docs: DataFrame) -> DataFrame:
+    """(digest, a, text) of each row and run: docs (digest, text, runs); the text from byte a on, widened to whole characters.
+
+    Runs are disjoint, so two such texts share fewer bytes than a character has.
+    """
+    schema = pa.schema([("digest", pa.binary()), ("a", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for digest, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                data = text.encode()
+                for a, b in runs:
+                    while data[a] & 0xC0 == 0x80:
+                        a -= 1
+                    while b < len(data) and data[b] & 0xC0 == 0x80:
+                        b += 1
+                    out.append((digest, a, data[a:b].decode()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return docs.mapInArrow(run, "digest binary, a long, text string")
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The 400-byte rule; and, as ``text``, what is left of a text without its repeated passages of over 50 words.
 
-    A repeated string of LENGTH bytes lies inside a run of repeated passages, so only texts with so long a run are searched for it.
+    A repeated string of LENGTH bytes lies inside one run of repeated passages, so only runs that long are searched for it, as
+    texts of their own; equal ones are compared once.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     rows = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     passages, runs = passage_spans(docs)
-    long_enough = runs.where(F.exists("spans", lambda s: s[1] - s[0] >= LENGTH)).select("digest")
-    within = written(rows.join(bounded(long_enough), "digest", "left_semi").select("text"), "repeats-within")
-    whole = repeated_spans(within, LENGTH).withColumnRenamed("spans", "cut")
+    long_enough = runs.select("digest", F.filter("spans", lambda s: s[1] - s[0] >= LENGTH).alias("runs")).where(F.size("runs") > 0)
+    within = written(run_texts(rows.join(bounded(long_enough), "digest").select("digest", "text", "runs")), "repeats-within")
+    cuts = repeated_spans(within.select("text"), LENGTH).withColumnRenamed("digest", "own")
+    placed = within.select("digest", "a", F.unhex(F.sha2("text", 256)).alias("own")).distinct().join(bounded(cuts), "own")
+    moved = placed.select("digest", F.transform("spans", lambda s: F.transform(s, lambda x: x + F.col("a"))).alias("spans"))
+    whole = moved.groupBy("digest").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cut"))
     found = rows.join(bounded(written(passages.join(whole, "digest", "full"), "repeats-found")), "digest", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
