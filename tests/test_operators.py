@@ -148,6 +148,26 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, search.knn(rows, q, 3, "l2").collect())) == whole
 
 
+def test_search_joins_no_pairs_and_keeps_the_order_of_brute_force(spark):
+    import numpy as np
+
+    v = np.round(np.random.default_rng(1).normal(size=(900, 8)), 1)
+    v[300:600] = v[:300]  # ties by distance
+    data = [(i, [float(x) for x in v[i]]) for i in range(900)]
+    rows = spark.createDataFrame([*data, (-1, None), (-2, [0.0] * 8), (-3, [1.0, None] + [0.0] * 6), (-4, [1.0])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(i, data[i][1]) for i in range(0, 900, 30)], "query_id long, embedding array<double>")
+    for space in search.SPACES:
+        got = search.knn(rows.repartition(5), q, 7, space)
+        assert "Join" not in (plan := got._jdf.queryExecution().toString()) and "Cartesian" not in plan
+        pairs = rows.crossJoin(q.withColumnRenamed("embedding", "e")).select("query_id", "id", V.distance(F.col("embedding"), F.col("e"), space).alias("d"))
+        want = {}
+        for r in sorted(pairs.where("d IS NOT NULL").collect(), key=lambda r: (r.query_id, r.d, r.id)):
+            want.setdefault(r.query_id, []).append((r.id, r.d))
+        assert sorted((r.query_id, r.rank, r.id, r.distance) for r in got.collect()) == [(a, k, *x) for a in sorted(want) for k, x in enumerate(want[a][:7])]
+    few = [(r.rank, r.id) for r in search.knn(rows.where("id < 1"), q.where("query_id = 0"), 9, "cosine").orderBy("rank").collect()]
+    assert few == [(0, 0), (1, -4), (2, -3), (3, -2), (4, -1)]  # unknown distances last, as in the SQL
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), ("c", "d")], "label string, prediction string")
     o = {r.label: (r.tp, r.fp, r.fn, r.tn) for r in metrics.outcomes(rows).collect()}
