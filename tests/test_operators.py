@@ -224,6 +224,18 @@ def test_topics_and_word_vectors(spark):
     assert table.count() == 6 and len(table.first().vector) == 4
 
 
+def test_csv_gives_back_every_text(spark, tmp_path):
+    from textloom.plans.steps import csv_with_header, csv_without_header
+
+    texts = ["a\r\nb", "", "c\rd", None, 'e;"f",\n', "\ufeffg", "h\0", " # i\\ "]
+    rows = spark.createDataFrame([(k, t, s, t) for k, t in enumerate(texts) for s in ("x", "", None)], "doc_id long, text string, source string, lang string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(map(str, rows.select("lang", "source", F.md5("text")).collect()))
+    for query in (csv_with_header, csv_without_header):
+        got = query(spark, str(tmp_path)).toDF("lang", "source", "md5(text)")
+        assert sorted(map(str, got.collect())) == want
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"Tit, le","two\nlines ""q"""\n2,x,y\n')
     rows = readers.csv_named(spark, str(tmp_path / "a.csv")).orderBy("label").collect()

@@ -16,8 +16,11 @@ from .catalog import _E, _OUT, _PRED, _PRF, _SENT_TOK, SENT, TOK, _asked, _knn_s
 def _csv(spark, d, header: bool, separator: str):
     path = cuts.place(spark, "csv")
     rows = docs(spark, d).select(F.col("lang").alias("label"), F.col("source").alias("title"), "text")
-    rows.write.csv(path, header=header, sep=separator, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.csv_named(spark, path, header=header, separator=separator).select("label", "title", F.md5("text").alias("digest"))
+    null = path.rsplit("/", 1)[-1]  # a new name, so no value holds it
+    put = lambda df, a, b: df.select(*[F.replace(c, F.lit(a), F.lit(b)).alias(c) for c in df.columns])
+    sinks.csv_named(put(rows, "\0", f"{null}.0"), path, header, separator, null)  # CSV parsers take the character 0 for an end
+    back = put(readers.csv_named(spark, path, header=header, separator=separator, line_end="\n", null=null), f"{null}.0", "\0")
+    return back.select("label", "title", F.md5("text").alias("digest"))
 
 
 _CSV_SQL = "SELECT lang AS label, source AS title, md5(text) AS digest FROM documents"

@@ -18,6 +18,12 @@ def annotation_tsv(rows: DataFrame, path: str) -> None:
     docs.select("label", "value").write.mode("overwrite").partitionBy("label").option("lineSep", "\n\n\n").text(path)
 
 
+def csv_named(rows: DataFrame, path: str, header: bool = False, separator: str = ",", null: str = "") -> None:
+    """CSV as the reader takes it, all fields in quotes. ``null`` stands for nulls; where it is empty, empty strings come back as nulls."""
+    options = {"quoteAll": True, "quote": '"', "escape": '"', "lineSep": "\n", "nullValue": null, "emptyValue": ""}
+    rows.write.csv(path, header=header, sep=separator, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options)
+
+
 def counts(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
