@@ -236,6 +236,14 @@ def test_csv_gives_back_every_text(spark, tmp_path):
         assert sorted(map(str, got.collect())) == want
 
 
+def test_marked_rows_of_a_text_of_many_sentences(spark, tmp_path):
+    from textloom.plans.steps import marked_rows
+
+    spark.createDataFrame([(1, "a b. " * 2200), (2, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, marked_rows(spark, str(tmp_path)).collect()))
+    assert got == [(1, k, 2) for k in range(2200)] + [(2, 0, 1)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"Tit, le","two\nlines ""q"""\n2,x,y\n')
     rows = readers.csv_named(spark, str(tmp_path / "a.csv")).orderBy("label").collect()

@@ -106,7 +106,7 @@ def mapping_file(spark, d):
 def marked_rows(spark, d):
     """One table of tokens with a marker row after each sentence; the sentence index is counted from the markers."""
     sents = docs(spark, d).select("doc_id", F.posexplode(X.sentences("text", "stops")).alias("s", "text"))
-    lines = sents.select("doc_id", "s", F.posexplode(F.concat(X.words("text"), F.array(F.lit("<endofsentence>")))).alias("p", "token")).withColumn("at", F.col("s") * 1_000_000 + F.col("p"))
+    lines = sents.select("doc_id", "s", F.posexplode(F.concat(X.words("text"), F.array(F.lit("<endofsentence>")))).alias("p", "token")).withColumn("at", F.struct("s", "p"))
     return readers.marked_annotations(lines, "at", "doc_id").groupBy("doc_id", "sent").agg(F.count("*").alias("n"))
 
 
