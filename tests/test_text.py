@@ -81,6 +81,20 @@ def test_lexer(spark):
     assert len(one(spark, text, typed_tokens()(F.col("t")))[0]) == len(got)
 
 
+def test_lexer_holds_few_tokens_at_a_time(spark, monkeypatch):
+    import pandas as pd
+
+    from textloom.functions import lexer
+
+    texts = ["one two, 3 " * 400, None, "", "x"] * 250
+    pieces = list(typed_tokens().func(iter([pd.Series(texts)])))
+    assert sum(map(len, pieces)) == len(texts) and max(sum(len(x) for x in p if x) for p in pieces) < 2 * lexer.CHARS
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:9])], "doc_id long, text string").coalesce(1)
+    want = sorted((k, *x) for k, t in enumerate(texts[:9]) if t for x in lex(t))
+    assert sorted(map(tuple, lexer.typed_rows(rows).collect())) == want
+    assert rows.select("doc_id", F.size(typed_tokens()(F.col("text"))).alias("n")).where("n > 0").agg(F.sum("n")).first()[0] == len(want)
+
+
 # published vocabulary pairs
 @pytest.mark.parametrize("word, stem", [("consign", "consign"), ("consigned", "consign"), ("consistency", "consist"), ("knightly", "knight"), ("knives", "knive"), ("generate", "generat"), ("generic", "generic"), ("hopping", "hop"), ("hoping", "hope"), ("flies", "fli"), ("dying", "die"), ("happily", "happili"), ("nationalization", "nation"), ("skies", "sky"), ("sensational", "sensat"), ("controlling", "control"), ("cry", "cri"), ("by", "by"), ("say", "say"), ("ties", "tie"), ("agreed", "agre"), ("succeed", "succeed"), ("rate", "rate")])
 def test_english_stems(word, stem):
