@@ -95,6 +95,16 @@ def test_lexer_holds_few_tokens_at_a_time(spark, monkeypatch):
     assert rows.select("doc_id", F.size(typed_tokens()(F.col("text"))).alias("n")).where("n > 0").agg(F.sum("n")).first()[0] == len(want)
 
 
+def test_sentences_of_many_tokens_take_time_by_their_number(spark):
+    import time
+
+    began = time.perf_counter()
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda k: F.when(k % 10 == 0, ".").otherwise("a")).alias("t"))
+    assert row.select(F.size(X.sentences_of_tokens("t"))).first()[0] == 20_000 and time.perf_counter() - began < 15
+    odd = spark.createDataFrame([([],), (None,), ([".", "."],), (["a", None, ".", None, ".", "b"],)], "t array<string>")
+    assert [r[0] for r in odd.select(X.sentences_of_tokens("t")).collect()] == [[], None, [[".", "."]], [["a", None, ".", None, "."], ["b"]]]
+
+
 # published vocabulary pairs
 @pytest.mark.parametrize("word, stem", [("consign", "consign"), ("consigned", "consign"), ("consistency", "consist"), ("knightly", "knight"), ("knives", "knive"), ("generate", "generat"), ("generic", "generic"), ("hopping", "hop"), ("hoping", "hope"), ("flies", "fli"), ("dying", "die"), ("happily", "happili"), ("nationalization", "nation"), ("skies", "sky"), ("sensational", "sensat"), ("controlling", "control"), ("cry", "cri"), ("by", "by"), ("say", "say"), ("ties", "tie"), ("agreed", "agre"), ("succeed", "succeed"), ("rate", "rate")])
 def test_english_stems(word, stem):
