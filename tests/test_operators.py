@@ -244,6 +244,14 @@ def test_marked_rows_of_a_text_of_many_sentences(spark, tmp_path):
     assert got == [(1, k, 2) for k in range(2200)] + [(2, 0, 1)]
 
 
+def test_top_triple_of_a_document_without_a_shuffle(spark):
+    from textloom.plans.catalog import QUERIES
+
+    assert "Exchange" not in QUERIES["document_loglik_top"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    items = spark.createDataFrame([([],), (None,), (["a"],), (["a", "a", "b", "c", "c"],)], "t array<string>")
+    assert [r[0] for r in items.select(T.run_lengths(F.col("t"))).collect()] == [[], None, [1], [2, 1, 2]]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"Tit, le","two\nlines ""q"""\n2,x,y\n')
     rows = readers.csv_named(spark, str(tmp_path / "a.csv")).orderBy("label").collect()
