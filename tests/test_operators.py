@@ -252,6 +252,16 @@ def test_top_triple_of_a_document_without_a_shuffle(spark):
     assert [r[0] for r in items.select(T.run_lengths(F.col("t"))).collect()] == [[], None, [1], [2, 1, 2]]
 
 
+def test_word_vectors_are_trained_by_more_tasks_where_there_are_more_words(spark, monkeypatch):
+    given, real = [], models.Word2Vec
+    monkeypatch.setattr(models, "Word2Vec", lambda **options: given.append(options.get("numPartitions")) or real(**options))
+    docs = spark.createDataFrame([(i, "cat dog pet sun" if i else None) for i in range(31)], "doc_id long, text string")
+    _, table = models.word_vectors(docs, X.words("text"), dims=4)
+    monkeypatch.setattr(models, "TASK_WORDS", 40, raising=False)
+    _, more = models.word_vectors(docs, X.words("text"), dims=4)
+    assert given == [1, 3] and table.count() == more.count() == 4
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"Tit, le","two\nlines ""q"""\n2,x,y\n')
     rows = readers.csv_named(spark, str(tmp_path / "a.csv")).orderBy("label").collect()
