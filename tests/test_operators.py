@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import text as X
+from textloom.functions import measures as M, text as X
 from textloom.operators import chunks, metrics, models, ngrams, qa, relational as R, search, vectors as V, weights as T
 from textloom.sources import readers, sinks
 from textloom.streaming import events
@@ -262,6 +262,27 @@ def test_word_vectors_are_trained_by_more_tasks_where_there_are_more_words(spark
     assert given == [1, 3] and table.count() == more.count() == 4
 
 
+def test_best_triples_drop_rows_by_bounds_and_no_triple(spark, monkeypatch):
+    from textloom.operators import best_triples as B
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    triples, uni = ngrams.triples(docs, X.words("text")).cache(), ngrams.token_counts(ngrams.token_table(docs)).cache()
+    firsts = triples.groupBy(F.col("w1").alias("token")).agg(F.count("*").alias("n")).cache()
+    n, total = uni.agg(F.sum("n")).first()[0], triples.count()
+    counted, real = [], ngrams.triple_counts
+    whole = real(triples).cache()
+    monkeypatch.setattr(B, "RESIDUES", 4)
+    monkeypatch.setattr(ngrams, "triple_counts", lambda rows: counted.append(rows) or real(rows))
+    for name, words, lowest in [("t_score", uni, False), ("t_score_smoothed", firsts, False), ("log_likelihood", uni, False), *[(m, uni, False) for m in B.POWERS], ("mi", uni, True)]:
+        got = B.best_triples(triples, words, n, name, M.MEASURES[name], 30, lowest, words is firsts).collect()
+        size = spark.range(1).select(F.lit(float(n)).alias("n"))
+        want = ngrams.top(ngrams.scored(whole, words, size, M.MEASURES[name]).withColumn("score", F.round("score", 6)), 30, lowest=lowest).collect()
+        assert [tuple(r) for r in got] == [(r.w1, r.w2, r.w3, r.f, r.score) for r in want]
+        assert counted[-1].count() < total / 3
+    few = triples.limit(5)
+    assert len(B.best_triples(few, uni, n, "mi", M.MEASURES["mi"], 30).collect()) == few.distinct().count()
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"Tit, le","two\nlines ""q"""\n2,x,y\n')
     rows = readers.csv_named(spark, str(tmp_path / "a.csv")).orderBy("label").collect()
