@@ -283,6 +283,21 @@ def test_best_triples_drop_rows_by_bounds_and_no_triple(spark, monkeypatch):
     assert len(B.best_triples(few, uni, n, "mi", M.MEASURES["mi"], 30).collect()) == few.distinct().count()
 
 
+def test_document_vectors_group_documents_and_spread_no_vector(spark):
+    docs = spark.createDataFrame([(1, "p q p. z z. p."), (2, "z."), (3, "q z! q q p? ...")], "doc_id long, text string")
+    tok = ngrams.annotation_table(docs, X.sentences("text", "stops"), X.words)
+    table = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0])], "token string, vector array<double>")
+    weights = T.tf_idf(T.term_counts(tok), docs.select("doc_id"))
+    for how in ("mean", "distinct", "sentences", "known", "dims", "weighted"):
+        got = V.document_vectors(tok, table, 2, how, weights)
+        assert "explode(vector" not in got._jdf.queryExecution().toString()
+        plain = dict(V.document_vectors(tok.drop("pos", "length"), table, 2, how, weights).collect())
+        assert {k: pytest.approx(v) for k, v in plain.items()} == dict(got.collect()) and plain[2] == [0, 0]
+    sents = V.document_vectors(tok, table, 2, "sentences")
+    assert "sent" not in str(sents._jdf.queryExecution().optimizedPlan().toString()).split("Aggregate [doc_id")[1].split("]")[0]
+    assert dict(sents.collect())[1] == pytest.approx([(2 / 3 + 0 + 1) / 3, (1 / 3) / 3])
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('1,"Tit, le","two\nlines ""q"""\n2,x,y\n')
     rows = readers.csv_named(spark, str(tmp_path / "a.csv")).orderBy("label").collect()
